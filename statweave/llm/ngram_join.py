@@ -2,12 +2,12 @@
 
 Documents are sets of distinct k-word shingles. Equal sets are one node from the start. Nodes that a cheap first
 pass links form groups of bounded size; a group keeps its members' sets and the union of their tokens. A node
-queries a group only if one of its rarest tokens is among the rarest tokens of the group's members, and the group
+queries a group only if some of its rarest tokens are among the rarest tokens of the group's members, and the group
 is opened only if the query's overlap with the union can reach what the threshold needs. No link is lost:
 
-* two sets with Jaccard similarity t or more share a token among the first ``n - ceil(t n) + 1`` of each under any
-  one order of all tokens; the order here is by the count of a token's hash bucket, then by hash, and the counts
-  are a table of fixed size whatever the input;
+* two sets with Jaccard similarity t or more share s tokens among the first ``n - ceil(t n) + s`` of each under any
+  one order of all tokens, for any s up to ``ceil(t n)``; the order here is by the count of a token's hash bucket,
+  then by hash, and the counts are a table of fixed size whatever the input;
 * a member's overlap with the query is at most the query's overlap with the union;
 * links inside one component need not be looked for again, so queries go only to groups of other components.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,10 @@ from .common import checkpoint, connected_components, document_shingles, mix
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
 ORDER_BITS = 20
+#: Rare tokens that a query must share with a group (fewer only for sets that need fewer in all).
+SHARED = 4
+#: Bits of the map of wanted ids (1 MB).
+ID_BITS = 23
 #: Shingles in a group's members together; a larger set is a group of its own.
 GROUP_TOKENS = 1 << 16
 #: Queries of one group that one task compares; more are dealt to further copies of the group.
@@ -89,7 +94,8 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
                     first.append(None)
                     continue
                 seen.add(key)
-                keep = n - needed(n, num, den) + 1
+                least = needed(n, num, den)
+                keep = n - least + min(SHARED, least)
                 often = counts[(tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 if keep < n:
                     part = np.argpartition(often, keep - 1)
@@ -104,16 +110,31 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, d1 long, d2 long, first array<bigint>")
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, tokens): each document's sorted set as little-endian 64-bit words."""
+def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
+    """(rep, tokens): the sorted sets of the wanted documents as little-endian 64-bit words.
+
+    A bitmap of the wanted ids (ID_BITS bits, whatever the input) keeps most other texts from being hashed and
+    moved; the exact semi-join follows. Repeated rows give one set, an id with several texts gives all of them.
+    """
+    at = F.pmod("rep", F.lit(1 << ID_BITS)) + 1  # the bitmap functions count from 1
+    parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # ID_BITS bits at most
+    bitmap = np.zeros((1 << ID_BITS) // 8, np.uint8)
+    for row in parts:
+        lo = (row["bucket"] - 1) * 4096
+        bitmap[lo : lo + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)[: len(bitmap) - lo]
+    ids = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def pack(batches):
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            at = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << ID_BITS) - 1)
+            batch = batch.filter(pa.array((ids.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             sets = list(document_shingles(batch.column(1), k))
             marks = [int(np.bitwise_xor.reduce(mix(t))) >> 1 if len(t) else 0 for t in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["rep", "mark", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "rep long, mark long, tokens binary")
+    own = docs.select("doc_id", "text").mapInArrow(pack, "rep long, mark long, tokens binary")
+    return own.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "mark"]).select("rep", "tokens")
 
 
 def _opened(queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -179,11 +200,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     # First pass: along each token's list from small to large, every node meets its neighbour and the first node.
     line = "over (partition by token order by n, rep)"
     met = posts.select("rep", "n", F.expr(f"lag(struct(n, rep)) {line}").alias("x"), F.expr(f"first(struct(n, rep)) {line}").alias("y"))
-    met = met.select(F.col("rep").alias("q"), "n", F.explode(F.array("x", "y")).alias("o")).where(f"o is not null and o.rep != q and o.n * {den} >= n * {num}")
-    met = checkpoint(met.select("q", F.col("o.rep").alias("g")).distinct())
+    met = met.select(F.col("rep").alias("q"), "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("o")).where(f"o is not null and o.rep != q and o.n * {den} >= n * {num}")
+    met = met.groupBy("q", F.col("o.rep").alias("g")).agg(F.count("*").alias("shared"), F.min("o.n").alias("n"))
+    met = checkpoint(met.where(f"shared >= least({SHARED}, ceil(n * {num} / {den}))").select("q", "g"))
     wanted = met.select(F.col("q").alias("rep")).union(met.select(F.col("g").alias("rep"))).distinct()
-    own = _sets(docs, k)
-    sets = _one_each(own, wanted)
+    sets = checkpoint(_sets(docs, k, wanted))
     first_links = checkpoint(_opened(met.join(sets, met.q == sets.rep).select("g", "q", "tokens"), met.select("g").distinct().join(sets, F.col("g") == sets.rep).select("g", "rep", "tokens"), num, den).distinct())
 
     # Groups: the components so far, cut to a bounded number of tokens. Singles are groups of one.
@@ -199,10 +220,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     cells = checkpoint(cells.join(several, "token", "left_semi"))
     matrix = cells.groupBy("token", "g", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     a, b = cells.alias("a"), matrix.alias("b")
-    asked = a.join(b, F.expr(f"a.token = b.token and a.component > b.component and b.least * {num} <= a.n * {den} and a.n * {num} <= b.most * {den}")).select(F.col("a.rep").alias("q"), "b.g")
-    asked = checkpoint(asked.distinct())
+    asked = a.join(b, F.expr(f"a.token = b.token and a.component > b.component and b.least * {num} <= a.n * {den} and a.n * {num} <= b.most * {den}")).select(F.col("a.rep").alias("q"), "b.g", "a.token", F.least("a.n", "b.least").alias("n"))
+    asked = asked.groupBy("q", "g").agg(F.countDistinct("token").alias("shared"), F.min("n").alias("n"))
+    asked = checkpoint(asked.where(f"shared >= least({SHARED}, ceil(n * {num} / {den}))").select("q", "g"))
     needs = asked.select("g").distinct().join(placed, "g").select("rep", "g")
-    sets = checkpoint(_one_each(own, needs.select("rep").union(asked.select("q")).distinct()))
+    sets = checkpoint(_sets(docs, k, needs.select("rep").union(asked.select("q")).distinct()))
     more = _opened(asked.join(sets, asked.q == sets.rep).select("g", "q", "tokens"), needs.join(sets, "rep").select("g", "rep", "tokens"), num, den).distinct()
     final = connected_components(first_links.union(more))
 
@@ -217,8 +239,3 @@ def _shared(nodes: DataFrame) -> DataFrame:
     """(token, rep, n) of the first tokens that two nodes or more hold."""
     posts = nodes.select("rep", "n", F.explode("first").alias("token"))
     return posts.withColumn("holders", F.expr("count(*) over (partition by token)")).where("holders > 1").select("token", "rep", "n")
-
-
-def _one_each(own: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted nodes; repeated rows give one, an id with several texts gives all of them."""
-    return own.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "mark"]).select("rep", "tokens")
