@@ -135,3 +135,50 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 
 ORACLES["op6_quality_rules"] = _rules_oracle()
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .toxicity import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    model = fit(docs, _table(spark, sf_dir, "labels"), crc % 3 != 1)
+    out = score(docs, model)
+    return out.select("doc_id", (crc % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .quality_model import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    model = fit(docs, _table(spark, sf_dir, "labels"), crc % 4 != 2)
+    out = score(docs, model)
+    return out.select("doc_id", (crc % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .language_id import fit, identify
+
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    out = identify(docs, fit(docs, crc % 4 != 2))
+    return out.select("doc_id", (crc % 4 == 2).alias("held_out"), "lang_pred", "score", "accepted")
