@@ -182,3 +182,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     crc = F.crc32(F.col("doc_id").cast("string"))
     out = identify(docs, fit(docs, crc % 4 != 2))
     return out.select("doc_id", (crc % 4 == 2).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+@_query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), cos=0.98)
