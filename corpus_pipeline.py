@@ -1,10 +1,56 @@
-"""A training-data pipeline over ``documents``: (name, function) stages, each taking (spark, docs, sf_dir)."""
+"""A training-data pipeline over ``documents``: (name, function) stages, each taking (spark, docs, sf_dir).
+
+Toxic documents go, one document of each group of near copies stays, secrets are masked, sources are mixed to their
+targets, and what is left is packed into windows of tokens. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from statweave.llm import mixing, ngram_join, packing, secret_scan, toxicity
+
+TOXIC = 0.7
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below 0.7."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return toxicity.below(docs, model, TOXIC)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that links of five-word shingles at similarity 0.8 connect, the one with the least id."""
+    parts = ngram_join.jaccard_components(docs, k=5, num=4, den=5)
+    first = parts.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = named.select(row.alias("row"), F.row_number().over(order).alias("place")).where("place = 1").select("row.*")
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets masked."""
+    return secret_scan.masked_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, one row for each time, the one at a source's cut in part."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in windows of 4,096 tokens."""
+    import public_tokenizers
+
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, window=4096)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("packing", pack_windows)]
+#: Model scores, shingle hashes and token ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 

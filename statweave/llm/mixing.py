@@ -80,7 +80,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     cut = F.when((part > 0) & (part < F.col("size")), part).otherwise(F.lit(0))
     lots = F.concat(F.array_repeat(F.lit(-1).cast("long"), copies.cast("int")), F.when(cut > 0, F.array(cut.cast("long"))).otherwise(F.array().cast("array<bigint>")))
     rows = taken.withColumn("lot", F.explode(lots))
-    first = F.regexp_extract(F.col("row.text"), F.lit(r"^[\x20\x09-\x0D]*"), 0)
+    first = F.regexp_extract(F.col("row.text"), r"^[\x20\x09-\x0D]*", 0)
     words = F.split(F.regexp_replace(F.col("row.text"), r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     head = F.concat(first, F.rtrim(F.array_join(F.slice(words, F.lit(1), F.col("lot").cast("int")), "")))
     fields = {c: F.col("row").getField(c) for c in docs.columns}

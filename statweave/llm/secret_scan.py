@@ -120,3 +120,18 @@ def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
     done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
     return F.when(F.size(spans) == 0, text).otherwise(done)
+
+
+def masked_documents(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """``docs`` with the reported spans of each text masked, in its own columns; n_chars, if there, follows the text."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(row.alias("row"), text.alias("text"))
+    rows = rows.withColumns({"strong": F.concat(*[found(F.col("text"), k, i) for i, k in enumerate(STRONG)]), "weak": F.concat(*[found(F.col("text"), k, len(STRONG) + i) for i, k in enumerate(WEAK)])})
+    rows = rows.select("row", "text", F.sort_array(F.concat("strong", F.when(F.size("weak") > 0, linked(F.col("strong"), F.col("weak"))).otherwise(F.array().cast(SPAN)))).alias("spans"))
+    rows = rows.select("row", F.size("spans").alias("n"), redacted(F.col("text"), F.col("spans"), mark).alias("clean"))
+    fields = {c: F.col("row").getField(c) for c in docs.columns}
+    fields["text"] = F.when(F.col("n") == 0, fields["text"]).otherwise(F.col("clean"))
+    if "n_chars" in fields:
+        fields["n_chars"] = F.when(F.col("n") == 0, fields["n_chars"]).otherwise(F.length("clean").cast("long"))
+    return rows.select(*[v.alias(c) for c, v in fields.items()])

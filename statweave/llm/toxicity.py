@@ -118,24 +118,37 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model(float(w[size]), used.astype(np.int32), w[used])
 
 
+def _scores(m: Model | None, column: pa.Array) -> np.ndarray:
+    total = np.zeros(len(column))
+    if m is None:
+        return total
+    table = np.zeros(1 << BITS, np.float32)
+    table[m.features] = m.weights
+    for row, data, offsets in text_chunks(column):
+        found, owner, n = features(data, offsets)
+        hit = np.flatnonzero(table[found] != 0)
+        pair = np.unique(owner[hit].astype(np.int64) << 32 | found[hit])
+        total[row : row + n] = m.intercept + np.bincount(pair >> 32, table[pair & 0xFFFFFFFF], minlength=n)
+    return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes a weight, 2**BITS weights at most
 
     def run(batches):
-        m = shared.value
-        table = np.zeros(1 << BITS, np.float32)
-        if m is not None:
-            table[m.features] = m.weights
         for batch in batches:
-            total = np.zeros(batch.num_rows)
-            if m is not None:
-                for row, data, offsets in text_chunks(batch.column(1)):
-                    found, owner, n = features(data, offsets)
-                    hit = np.flatnonzero(table[found] != 0)
-                    pair = np.unique(owner[hit].astype(np.int64) << 32 | found[hit])
-                    total[row : row + n] = m.intercept + np.bincount(pair >> 32, table[pair & 0xFFFFFFFF], minlength=n)
-                total = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def below(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``limit``."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
