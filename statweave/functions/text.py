@@ -156,7 +156,7 @@ def split_series_id(c: Column) -> Column:
 
 
 def split_values(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda v: F.trim(v)), lambda x: x != "")
 
 
 def safe_name(c: Column, longest: int | None = 120, mark: str = "-") -> Column:

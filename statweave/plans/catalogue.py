@@ -415,8 +415,8 @@ def quote_normalised(spark, sf_dir):
 
 
 @query(f"""WITH b AS (SELECT item_id, {NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, page, t, lead(t) OVER (PARTITION BY doc_id ORDER BY page) AS nxt FROM (SELECT doc_id, CAST(unnest(range(0, len(string_split(text, chr(10))))) AS BIGINT) AS page, {NORM.format('unnest(string_split(text, chr(10)))')} AS t FROM documents)),
-m AS (SELECT item_id, doc_id, page, q, t, instr(right(t, length(q) + 5) || ' ' || left(nxt, length(q) + 5), q) AS at, length(right(t, length(q) + 5)) AS k FROM b, d WHERE nxt IS NOT NULL AND contains(t || ' ' || nxt, q) AND NOT contains(t, q) AND NOT contains(nxt, q))
-SELECT item_id AS quote_id, doc_id, page FROM m WHERE at > 0 AND at <= k AND at + length(q) - 1 > k""")
+m AS (SELECT item_id, doc_id, page, q, t, instr(right(t, length(q) + 5) || ' ' || left(nxt, length(q) + 5), q) AS pos, length(right(t, length(q) + 5)) AS k FROM b, d WHERE nxt IS NOT NULL AND contains(t || ' ' || nxt, q) AND NOT contains(t, q) AND NOT contains(nxt, q))
+SELECT item_id AS quote_id, doc_id, page FROM m WHERE pos > 0 AND pos <= k AND pos + length(q) - 1 > k""")
 def quote_cross_page(spark, sf_dir):
     p = citations.normalised(_doc_pages(spark, sf_dir)).select("doc_id", F.col("page").cast("long").alias("page"), "norm")
     q = _quotes(spark, sf_dir).select("quote_id", text.normalize_quote(F.col("quote")).alias("nq"))

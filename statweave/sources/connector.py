@@ -218,6 +218,8 @@ class PagedJson(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to a session, with filters passed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedJson)
 
 

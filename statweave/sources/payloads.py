@@ -121,7 +121,7 @@ def sdmx_ml_generic(payloads: DataFrame, body: str = "body") -> DataFrame:
 def sdmx_ml_specific(payloads: DataFrame, body: str = "body") -> DataFrame:
     """(dims, period, value) of structure-specific SDMX-ML, whose attributes are the dimensions."""
     text = without_prefixes(F.col(body))
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)<Series\b.*?(?:/>|</Series>)"), F.lit(0))
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)<Series\b(?:[^>]*/>|.*?</Series>)"), F.lit(0))
     blocks = payloads.select(F.explode(F.when(F.size(parts) > 0, parts).otherwise(F.array(text))).alias("s"))
     head = F.regexp_extract("s", r"^<Series\b([^>]*)>", 1)
     obs = blocks.select(head.alias("h"), F.explode(F.regexp_extract_all(F.col("s"), F.lit(r"<Obs\b([^>]*?)/?>"), F.lit(1))).alias("o"))
