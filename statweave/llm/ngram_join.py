@@ -1,15 +1,19 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of distinct k-word shingles. Equal sets are one node from the start. Nodes that a cheap first
-pass links form groups of bounded size; a group keeps its members' sets and the union of their tokens. A node
-queries a group only if some of its rarest tokens are among the rarest tokens of the group's members, and the group
-is opened only if the query's overlap with the union can reach what the threshold needs. No link is lost:
+Documents are sets of distinct k-word shingles. Equal sets are one node from the start. Similar nodes, those that
+share most of their rare tokens with the same leader, form groups cut to a bounded size; a group keeps the matrix of
+its members' tokens over the union of them. A node queries a group only if some of its rarest tokens are among the
+rarest tokens of the group's members, and the group is opened only if the query's overlap with the union can reach
+what the threshold needs. No link is lost, whatever the grouping:
 
 * two sets with Jaccard similarity t or more share s tokens among the first ``n - ceil(t n) + s`` of each under any
   one order of all tokens, for any s up to ``ceil(t n)``; the order here is by the count of a token's hash bucket,
   then by hash, and the counts are a table of fixed size whatever the input;
 * a member's overlap with the query is at most the query's overlap with the union;
-* links inside one component need not be looked for again, so queries go only to groups of other components.
+* of two nodes in different groups, one queries the other's group; inside a group all are compared.
+
+Links of an opened group are reported as a spanning forest, so a group of copies gives as many rows as it has
+members, not as many as pairs.
 
 Null or blank texts have the empty set and link with nothing; fewer than k words make one shingle; repeated rows
 and repeated ids are rows of their own (a shared id joins its rows under one number, as the result is per id);
@@ -27,13 +31,13 @@ from pyspark.sql import functions as F
 from .common import checkpoint, connected_components, document_shingles, mix
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
-ORDER_BITS = 20
-#: Rare tokens that a query must share with a group (fewer only for sets that need fewer in all).
-SHARED = 4
+ORDER_BITS = 21
+#: Rare tokens that a query must share with a group: one for each SHARED_PER tokens of a set, SHARED_MOST at most.
+SHARED_PER, SHARED_MOST = 64, 16
 #: Bits of the map of wanted ids (1 MB).
 ID_BITS = 23
 #: Shingles in a group's members together; a larger set is a group of its own.
-GROUP_TOKENS = 1 << 16
+GROUP_TOKENS = 1 << 18
 #: Queries of one group that one task compares; more are dealt to further copies of the group.
 GROUP_QUERIES = 4096
 
@@ -43,6 +47,14 @@ def needed(n: int | np.ndarray, num: int, den: int):
     return -(-n * num // den)
 
 
+def to_share(n: int) -> int:
+    """Rare tokens that a set of n must share with a partner; never more than ``needed``, and growing with n."""
+    return max(1, min(SHARED_MOST, n // SHARED_PER))
+
+
+TO_SHARE = f"greatest(1, least({SHARED_MOST}, n div {SHARED_PER}))"
+
+
 def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Documents per hash bucket of their tokens; partitions send their tables in slices, which are added up."""
     size, slices = 1 << ORDER_BITS, 64
@@ -94,8 +106,7 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
                     first.append(None)
                     continue
                 seen.add(key)
-                least = needed(n, num, den)
-                keep = n - least + min(SHARED, least)
+                keep = n - needed(n, num, den) + to_share(n)
                 often = counts[(tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int64)]
                 if keep < n:
                     part = np.argpartition(often, keep - 1)
@@ -111,10 +122,10 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(rep, tokens): the sorted sets of the wanted documents as little-endian 64-bit words.
+    """(rep, tokens): the sorted sets of the wanted documents, and of few others, as little-endian 64-bit words.
 
-    A bitmap of the wanted ids (ID_BITS bits, whatever the input) keeps most other texts from being hashed and
-    moved; the exact semi-join follows. Repeated rows give one set, an id with several texts gives all of them.
+    A bitmap of the wanted ids (ID_BITS bits, whatever the input) keeps most other texts from being hashed and moved;
+    the join with the wanted ids is exact. A partition gives a repeated row's set once.
     """
     at = F.pmod("rep", F.lit(1 << ID_BITS)) + 1  # the bitmap functions count from 1
     parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # ID_BITS bits at most
@@ -125,61 +136,76 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     ids = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def pack(batches):
+        seen: set[tuple[int, bytes]] = set()
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(0)))
             at = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << ID_BITS) - 1)
             batch = batch.filter(pa.array((ids.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            sets = list(document_shingles(batch.column(1), k))
-            marks = [int(np.bitwise_xor.reduce(mix(t))) >> 1 if len(t) else 0 for t in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array([t.tobytes() for t in sets], pa.binary())], ["rep", "mark", "tokens"])
+            reps, sets = [], []
+            for rep, tokens in zip(batch.column(0).to_pylist(), document_shingles(batch.column(1), k), strict=True):
+                mark = (rep, tokens[:4].tobytes() + len(tokens).to_bytes(8, "little") + int(np.bitwise_xor.reduce(tokens) if len(tokens) else 0).to_bytes(8, "little"))
+                if mark not in seen:
+                    seen.add(mark)
+                    reps.append(rep)
+                    sets.append(tokens.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "tokens"])
 
-    own = docs.select("doc_id", "text").mapInArrow(pack, "rep long, mark long, tokens binary")
-    return own.join(wanted, "rep", "left_semi").dropDuplicates(["rep", "mark"]).select("rep", "tokens")
+    return docs.select("doc_id", "text").mapInArrow(pack, "rep long, tokens binary")
 
 
-def _opened(queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between queries (g, q, tokens) and members (g, rep, tokens) of the same group.
+def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between queries (g, q) and members (g, rep) of the same group, as a forest for each group.
 
     Rows of a group come together in a task, members first; members (bounded by GROUP_TOKENS) are held, queries
     stream by. A group with many queries is copied, each copy for some of them.
     """
     counts = queries.groupBy("g").agg(F.count("*").alias("asked"))
     copies = F.expr(f"cast(asked div {GROUP_QUERIES} + 1 as int)")
-    shaped = queries.join(counts, "g").select("g", F.expr(f"pmod(xxhash64(q), asked div {GROUP_QUERIES} + 1)").cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("id"), "tokens")
-    shaped = shaped.unionByName(members.join(counts, "g").select("g", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.lit(0).alias("kind"), F.col("rep").alias("id"), "tokens"))
+    parts = queries.join(counts, "g").select("g", F.expr(f"pmod(xxhash64(q), asked div {GROUP_QUERIES} + 1)").cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"))
+    parts = parts.unionByName(members.join(counts, "g").select("g", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.lit(0).alias("kind"), "rep"))
+    parts = checkpoint(parts)
+    shaped = _sets(docs, k, parts.select("rep").distinct()).join(parts, "rep").select("g", "copy", "kind", F.col("rep").alias("id"), "tokens")
 
     def compare(batches):
-        group, ids, sets, union = None, [], [], None
+        group, ids, sets, matrix, root = None, [], [], None, {}
+
+        def find(i: int) -> int:
+            while root.setdefault(i, i) != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
         for batch in batches:
             g, c, kind, node, blobs = (batch.column(i).to_pylist() for i in range(5))
             left, right = [], []
             for at, is_query, i, blob in zip(zip(g, c, strict=True), kind, node, blobs, strict=True):
                 tokens = np.frombuffer(blob, np.uint64)
                 if at != group:
-                    group, ids, sets, union = at, [], [], None
+                    group, ids, sets, matrix, root = at, [], [], None, {}
                 if not is_query:
                     ids.append(i)
                     sets.append(tokens)
                     continue
-                if union is None:
-                    union = np.unique(np.concatenate(sets)) if len(sets) > 1 else sets[0] if sets else np.zeros(0, np.uint64)
+                if not sets:
+                    continue
+                if matrix is None:
+                    union, column = np.unique(np.concatenate(sets), return_inverse=True)
+                    sizes, names = np.array([len(t) for t in sets]), np.array(ids)
+                    matrix = (union, column, np.cumsum(sizes) - sizes, sizes, names)
+                union, column, starts, sizes, names = matrix
                 n = len(tokens)
                 place = np.searchsorted(union, tokens)
                 place[place == len(union)] = 0
-                inside = tokens[union[place] == tokens] if len(union) else tokens[:0]
+                inside = place[union[place] == tokens]
                 if len(inside) < needed(n, num, den):
                     continue  # the bound: no member can reach the similarity
-                for other, have in zip(ids, sets, strict=True):
-                    m = len(have)
-                    if other == i or m * num > n * den or n * num > m * den:
-                        continue
-                    if len(sets) == 1:
-                        both = len(inside)
-                    else:
-                        place = np.searchsorted(have, inside)
-                        place[place == m] = 0
-                        both = int(np.count_nonzero(have[place] == inside))
-                    if den * both >= num * (n + m - both):
+                row = np.zeros(len(union), np.int32)
+                row[inside] = 1
+                both = np.add.reduceat(row[column], starts)
+                for other in names[(den * both >= num * (n + sizes - both)) & (names != i)].tolist():
+                    x, y = find(i), find(other)
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
                         left.append(i)
                         right.append(other)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -194,39 +220,33 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(_bucket_counts(docs, k))
     rows = checkpoint(_described(docs, k, num, den, table))
-    nodes = checkpoint(rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first")))
-    posts = checkpoint(_shared(nodes))
-
-    # First pass: along each token's list from small to large, every node meets its neighbour and the first node.
-    line = "over (partition by token order by n, rep)"
-    met = posts.select("rep", "n", F.expr(f"lag(struct(n, rep)) {line}").alias("x"), F.expr(f"first(struct(n, rep)) {line}").alias("y"))
-    met = met.select(F.col("rep").alias("q"), "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("o")).where(f"o is not null and o.rep != q and o.n * {den} >= n * {num}")
-    met = met.groupBy("q", F.col("o.rep").alias("g")).agg(F.count("*").alias("shared"), F.min("o.n").alias("n"))
-    met = checkpoint(met.where(f"shared >= least({SHARED}, ceil(n * {num} / {den}))").select("q", "g"))
-    wanted = met.select(F.col("q").alias("rep")).union(met.select(F.col("g").alias("rep"))).distinct()
-    sets = checkpoint(_sets(docs, k, wanted))
-    first_links = checkpoint(_opened(met.join(sets, met.q == sets.rep).select("g", "q", "tokens"), met.select("g").distinct().join(sets, F.col("g") == sets.rep).select("g", "rep", "tokens"), num, den).distinct())
-
-    # Groups: the components so far, cut to a bounded number of tokens. Singles are groups of one.
-    parts = connected_components(first_links)
-    placed = nodes.groupBy("rep").agg(F.max("n").alias("n")).join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    total = placed.groupBy("component").agg(F.sum("n").alias("total"))
-    placed = placed.join(total, "component").select("rep", "n", "component", F.expr(f"xxhash64(component, pmod(xxhash64(rep), total div {GROUP_TOKENS} + 1))").alias("g"))
-    placed = checkpoint(placed)
+    full = rows.where("n > 0 and doc_id is not null")
+    posts = checkpoint(_shared(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first"))))
+    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+
+    # Groups: each node follows the node that comes first (the smallest) in most of its tokens' lists.
+    first = F.expr("first(rep) over (partition by token order by n, rep)")
+    leads = posts.select("rep", "n", first.alias("leader")).groupBy("rep", "leader").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    leads = leads.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("leader")).alias("leader"))).alias("x"), F.max("n").alias("n")).select("rep", F.when(F.col("x.shared") >= F.expr(TO_SHARE), -F.col("x.leader")).otherwise(F.col("rep")).alias("leader"))
+    sizes = posts.groupBy("rep").agg(F.max("n").alias("n")).join(leads, "rep")
+    total = sizes.groupBy("leader").agg(F.sum("n").alias("total"))
+    placed = checkpoint(sizes.join(total, "leader").select("rep", "n", F.expr(f"xxhash64(leader, pmod(xxhash64(rep), total div {GROUP_TOKENS} + 1))").alias("g")))
 
     # Token-group matrix: which groups hold a token among their members' first ones, and the sizes they hold.
-    cells = posts.join(placed.select("rep", "component", "g"), "rep")
-    several = cells.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    cells = checkpoint(cells.join(several, "token", "left_semi"))
-    matrix = cells.groupBy("token", "g", "component").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    # A group of several is asked by its own members; tokens of one group only lead nowhere else.
+    members = placed.select("rep", "g")
+    several = members.groupBy("g").agg(F.count("*").alias("held")).where("held > 1").select("g")
+    own = members.join(several, "g").select(F.col("rep").alias("q"), "g")
+    cells = posts.join(members, "rep").distinct()
+    matrix = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    matrix = matrix.withColumn("groups", F.expr("count(*) over (partition by token)")).where("groups > 1").drop("groups")
     a, b = cells.alias("a"), matrix.alias("b")
-    asked = a.join(b, F.expr(f"a.token = b.token and a.component > b.component and b.least * {num} <= a.n * {den} and a.n * {num} <= b.most * {den}")).select(F.col("a.rep").alias("q"), "b.g", "a.token", F.least("a.n", "b.least").alias("n"))
-    asked = asked.groupBy("q", "g").agg(F.countDistinct("token").alias("shared"), F.min("n").alias("n"))
-    asked = checkpoint(asked.where(f"shared >= least({SHARED}, ceil(n * {num} / {den}))").select("q", "g"))
-    needs = asked.select("g").distinct().join(placed, "g").select("rep", "g")
-    sets = checkpoint(_sets(docs, k, needs.select("rep").union(asked.select("q")).distinct()))
-    more = _opened(asked.join(sets, asked.q == sets.rep).select("g", "q", "tokens"), needs.join(sets, "rep").select("g", "rep", "tokens"), num, den).distinct()
-    final = connected_components(first_links.union(more))
+    met = a.join(b, F.expr(f"a.token = b.token and a.g > b.g and b.least * {num} <= a.n * {den} and a.n * {num} <= b.most * {den}"))
+    met = met.groupBy(F.col("a.rep").alias("q"), F.col("b.g").alias("g")).agg(F.countDistinct("a.token").alias("shared"), F.min(F.least("a.n", "b.least")).alias("n"))
+    asked = checkpoint(met.where(f"shared >= {TO_SHARE}").select("q", "g").union(own))
+    needs = asked.select("g").distinct().join(members, "g")
+    links = _opened(docs, k, asked, needs, num, den)
+    final = connected_components(links)
 
     # Back to the rows: a digest's node, and the node's component. Components are labelled by nodes, the least ids.
     label = nodes.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
