@@ -14,7 +14,7 @@ U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a worker's temporary arrays.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

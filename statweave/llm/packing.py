@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 SMALLEST_SHARE = 1024
+#: Rows of a batch that a worker turns into pieces at once.
+ROWS = 1000
+#: Totals by source and partition that are broadcast; more of them are joined by a shuffle.
+BROADCAST_TOTALS = 100_000
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, source string, ids binary"
 
 
@@ -118,7 +122,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         bpe, part, run = load(path), TaskContext.get().partitionId(), {}
         tail = np.array([end_id], bpe.dtype)
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             blobs, sizes, places = [], [], []
             for source, ids in zip(batch.column(1).to_pylist(), bpe.encode_column(batch.column(2)), strict=True):
                 blobs.append(ids.tobytes() + tail.tobytes())
@@ -159,8 +163,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     order = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("source", "part", "queue", "base")
 
+    if totals.count() <= BROADCAST_TOTALS:
+        bases = F.broadcast(bases)
+
     def cut(batches):
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             out: list[list] = [[] for _ in range(8)]
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for doc, source, q, place, n, blob in zip(*columns, strict=True):
