@@ -1,0 +1,21 @@
+"""A PySpark-native engine for official statistics, research literature and training-data corpora."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Send the package to the executors of a session, once, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_statweave_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="statweave-")) / "statweave.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(target))
+    sc._statweave_shipped = True
