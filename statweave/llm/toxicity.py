@@ -84,7 +84,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "features"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary").toPandas()
+    # The sample's size is bounded by ``most``, so it is broadcast and the texts stay where they are.
+    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary").toPandas()
     sample = sample.sort_values(["doc_id", "features"]).reset_index(drop=True)
     if sample["label"].nunique() < 2:
         return None
