@@ -41,7 +41,7 @@ RULES = (
     Rule("stop_words", "stop_words", 2, None, 60),
     Rule("repeated_lines", "dup_line_share", None, 0.5, 20),
     Rule("shouting", "upper_share", None, 0.6, 10),
-    Rule("marks", "mark_share", None, 0.4, 10),
+    Rule("marks", "mark_share", None, 0.4, 20),
 )
 
 
