@@ -62,3 +62,33 @@ def test_exchange_rate_key(spark, tmp_path, io):
     r = services.exchange_rate(spark, "usd", **io).first()
     assert (r["dims"]["CURRENCY"], r["period"], float(r["value"])) == ("USD", "2024-01-02", 1.1)
     assert services.exchange_rate(spark, "chf", **io).where(F.lit(True)).count() == 0
+
+
+def test_other_statistics(spark, tmp_path, io):
+    goal = lambda sex, v: {"series": "S", "indicator": ["1.1.1"], "geoAreaCode": "250", "geoAreaName": "France", "timePeriodStart": 2020.0, "value": v, "dimensions": {"Sex": sex}, "footnotes": ["a", "", "b"]}
+    record(tmp_path, "goals", "Series/Data", {"seriesCode": ["S"], "areaCode": None, "timePeriodStart": None, "timePeriodEnd": None}, {"totalPages": 1, "data": [goal("_T", "1"), goal("F", "2")]})
+    r = services.goals(spark, ["S"], totals={"Sex": ["_T"], "Age": ["_T"]}, **io).collect()
+    assert [(x["Sex"], x["value"], x["footnotes"], x["indicator"]) for x in r] == [("_T", "1", "a | b", "1.1.1")]
+    row = lambda c, y: {"IndicatorCode": "I", "SpatialDim": c, "TimeDim": y, "NumericValue": 1.5}
+    record(tmp_path, "health", "I", {"$filter": "SpatialDim eq 'FRA' and TimeDim ge 2019"}, {"value": [row("FRA", 2020), row("FRA", 2018)]})
+    assert [x["TimeDim"] for x in services.health(spark, "I", ["FRA"], start=2019, **io).collect()] == [2020]
+    record(tmp_path, "education", "data/indicators", {"indicator": ["E"], "geoUnit": ["FRA"]}, {"records": [{"indicatorId": "E", "geoUnit": "FRA", "year": 2020, "value": 2.0}]})
+    names = spark.createDataFrame([("other", "x")], "id string, name string")
+    assert services.education(spark, ["E"], ["FRA"], names, **io).first()["name"] == ""
+    record(tmp_path, "displacement", "population", {"coo": "SYR", "coa": None, "yearFrom": None, "yearTo": None}, {"maxPages": 1, "items": [{"year": "2020", "refugees": "-"}, {"year": "2021", "refugees": "12"}]})
+    assert [x["refugees"] for x in services.displacement(spark, "population", ["year", "refugees"], origin="SYR", **io).collect()] == ["", "12"]
+    record(tmp_path, "trade", "C/A/HS", {"reporterCode": "251", "partnerCode": "0", "flowCode": "X", "cmdCode": "TOTAL", "period": "2020"}, {"data": [{"reporterISO": "FRA", "partnerISO": "W00", "flowCode": "X", "cmdCode": "TOTAL", "period": "2020", "primaryValue": 5.0}]})
+    rows, cut = services.trade(spark, "251", "0", "X", "TOTAL", "2020", **io)
+    assert rows.count() == 1 and rows.agg(cut.alias("c")).first()["c"] is False
+
+
+def test_repository_and_projects(spark, tmp_path, io):
+    item = {"uuid": "u", "handle": "h", "metadata": {"dc.title": [{"value": "Jobs"}], "dc.title.subtitle": [{"value": "A report"}], "okr.doctype": [{"value": "Publications::Report"}]}, "bundles": [{"name": "ORIGINAL", "bitstreams": [{"uuid": "1", "name": "Summary.pdf", "sequenceId": 1}, {"uuid": "2", "name": "Full.PDF", "sequenceId": None}, {"uuid": "3", "name": "data.xlsx"}]}, {"name": "TEXT", "bitstreams": [{"uuid": "4", "name": "x.pdf"}]}]}
+    record(tmp_path, "repository", "discover/search/objects", {"query": "jobs", "f.entityType": "Publication,equals", "embed": "bundles/bitstreams"}, {"_embedded": {"searchResult": {"_embedded": {"objects": [{"_embedded": {"indexableObject": item}}]}}}})
+    found = services.repository_search(spark, "jobs", **io)
+    assert (found.first()["title"], found.first()["type"]) == ("Jobs: A report", "Report")
+    assert services.repository_pdf(found).first()["name"] == "Full.PDF"
+    project = {"id": "P1", "project_name": "Roads", "totalamt": "0", "curr_total_commitment": "1,500", "major_sectors": [{"major_sector": {"major_sector_name": "T", "sectors": [{"sector_name": "Roads", "sector_percent": "60"}]}}], "status": "Active"}
+    record(tmp_path, "projects", "projects", {"format": "json", "qterm": "roads"}, {"total": 1, "projects": {"P1": project}})
+    r = services.project_search(spark, "roads", **io).first()
+    assert (r["amount"], r["sectors"]) == (1500, ["Roads (60%)"])
