@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).where(learnable)
     shares = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(sampled(marked, "quality", most, ":quality"), "doc_id").select("doc_id", "quality", "text").toPandas()  # sum(most) rows or so
+    sample = texts.join(F.broadcast(sampled(marked, "quality", most, ":quality")), "doc_id").select("doc_id", "quality", "text").toPandas()  # sum(most) rows or so
     sample = sample.sort_values(["doc_id", "text"]).reset_index(drop=True)
     y = sample["quality"].to_numpy(float)
     if len(set(y)) < 2:
