@@ -79,6 +79,13 @@ def text_chunks(column: pa.Array | pa.ChunkedArray):
         row = end
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches of at most so many rows, so that a worker's lists stay small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(out >= 65) & (out <= 90)] += 32

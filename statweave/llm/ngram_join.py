@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, document_shingles, mix
+from .common import checkpoint, connected_components, document_shingles, mix, sliced
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
 ORDER_BITS = 21
@@ -61,10 +61,11 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
 
     def count(batches):
         table = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(document_shingles(batch.column(0), k))
-            if sets:
-                table += np.bincount((np.concatenate(sets) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=size)
+            tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            at, often = np.unique((tokens >> np.uint64(64 - ORDER_BITS)).astype(np.int32), return_counts=True)
+            table[at] += often
         if table.any():
             step = size // slices
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([table[i * step : (i + 1) * step].astype(np.uint32).tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
@@ -83,7 +84,7 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     step = size // slices
     for row in parts.repartition(8, "slice").mapInArrow(add, schema).collect():
         table[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(row["counts"], np.int64)
-    return table
+    return np.minimum(table, 2**32 - 1).astype(np.uint32)
 
 
 def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
@@ -92,7 +93,7 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
     def describe(batches):
         counts = table.value
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, high, low, first = [], [], [], []
             for tokens in document_shingles(batch.column(1), k):
                 n = len(tokens)
@@ -137,7 +138,7 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
 
     def pack(batches):
         seen: set[tuple[int, bytes]] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             batch = batch.filter(pc.is_valid(batch.column(0)))
             at = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << ID_BITS) - 1)
             batch = batch.filter(pa.array((ids.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
@@ -175,7 +176,7 @@ def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num
                 i = root[i]
             return i
 
-        for batch in batches:
+        for batch in sliced(batches, 500):
             g, c, kind, node, blobs = (batch.column(i).to_pylist() for i in range(5))
             left, right = [], []
             for at, is_query, i, blob in zip(zip(g, c, strict=True), kind, node, blobs, strict=True):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, sliced
 
 SMALLEST_SHARE = 1024
 #: Rows of a batch that a worker turns into pieces at once.
@@ -122,7 +122,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
         bpe, part, run = load(path), TaskContext.get().partitionId(), {}
         tail = np.array([end_id], bpe.dtype)
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in sliced(batches, ROWS):
             blobs, sizes, places = [], [], []
             for source, ids in zip(batch.column(1).to_pylist(), bpe.encode_column(batch.column(2)), strict=True):
                 blobs.append(ids.tobytes() + tail.tobytes())
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
         bases = F.broadcast(bases)
 
     def cut(batches):
-        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+        for batch in sliced(batches, ROWS):
             out: list[list] = [[] for _ in range(8)]
             columns = [batch.column(i).to_pylist() for i in range(6)]
             for doc, source, q, place, n, blob in zip(*columns, strict=True):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, span_hashes, text_chunks, word_spans
+from .common import lower_ascii, mix, sliced, span_hashes, text_chunks, word_spans
 
 BITS = 20
 #: Labelled rows learned from: of class 0 and of class 1.
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
     chosen = sampled(marked, "toxic", most, ":toxic")
 
     def gather(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for row, data, offsets in text_chunks(batch.column(2)):
                 found, owner, n = features(data, offsets)
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 12 bytes a weight, 2**BITS weights at most
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
@@ -149,7 +149,7 @@ def below(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < limit))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ NONE = np.int32(2**31 - 1)
 #: Units longer than this many bytes are encoded by the library.
 LONGEST = 48
 #: Distinct units that a worker keeps between batches; beyond it the store starts anew.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 250_000
 
 
 def byte_symbols() -> list[str]:
