@@ -114,9 +114,8 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> Model:
             rate = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - rate * w
             n[at] += g * g
-    w = weights(np.arange(size + 1))
-    used = np.flatnonzero(w[:size])
-    return Model(float(w[size]), used.astype(np.int32), w[used])
+    used = np.flatnonzero(np.abs(z[:size]) > L1)
+    return Model(float(weights(np.array([size]))[0]), used.astype(np.int32), weights(used))
 
 
 def _scores(m: Model | None, column: pa.Array) -> np.ndarray:
