@@ -18,11 +18,12 @@ def blocks(items: DataFrame) -> DataFrame:
     """A block for each item such that items sharing a DOI or a long enough title share it.
 
     Labels travel over the two keys until none changes; every decision on an item looks at such items only, so the
-    fold below may run block by block.
+    fold below may run block by block. Titles are keys by their hash, so long ones aren't shuffled in each round; the
+    fold compares whole titles.
     """
     title = norm_title(F.col("title"))
     rows = items.withColumn("_doi", norm_doi(F.col("doi"))).withColumn("_title", F.when(F.length(title) >= SHORTEST_TITLE, title)).withColumn("_row", F.xxhash64("source", "source_order", "rank", "item_id", "title", "doi"))
-    links = rows.select("_row", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("t"), "_title")))).alias("k"))
+    links = rows.select("_row", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("t"), F.sha2("_title", 256))))).alias("k"))
     labels = rows.select("_row", F.col("_row").alias("_block")).distinct()
     before = None
     while True:

@@ -297,7 +297,7 @@ def entity_resolution(spark, sf_dir):
     """Documents of three kinds of sources as items; equal first lines are the same work."""
     docs = table(spark, sf_dir, "documents")
     order = F.pmod(F.col("doc_id"), F.lit(3))
-    title = F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120))
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
     items = docs.select(F.concat(F.lit("s"), order.cast("string")).alias("source"), order.cast("int").alias("source_order"), (F.col("doc_id") / 3).cast("int").alias("rank"), F.lit(None).cast("string").alias("doi"), title.alias("title"), (F.lit(2000) + F.pmod("n_chars", F.lit(3))).cast("int").alias("year"), F.col("doc_id").cast("string").alias("item_id"))
     return fusion.resolve(items).select("item_id", "group_id", "group_seq")
 

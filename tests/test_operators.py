@@ -226,3 +226,13 @@ def test_streams(spark, tmp_path, small):
     q = provenance.append(stream.select("event_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.json(str(tmp_path / "out")).count() == events.count()
+
+
+def test_entity_resolution_query_compares_whole_first_lines(spark, tmp_path):
+    from statweave.plans import catalogue
+
+    same = "one long beginning of a first line " * 5
+    rows = [(0, f"{same}a\nx", 3), (1, f"{same}b\ny", 3), (2, f"{same}a\nz", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["item_id"]: r["group_id"] for r in catalogue.QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
+    assert got == {"0": "0", "1": "1", "2": "0"}
