@@ -7,15 +7,18 @@ queues are alive, the first ``x`` tokens are shared out by halving the set of qu
 document's pieces follow from its place in its queue alone, and places come from per-partition running totals plus
 a window over (source, partition) totals. When a queue runs dry, a new phase shares its part among the others.
 
-A queue is a source (null and empty are one); sources below 1/1024 of the tokens share one queue, served source by
-source, so the plan never holds more than 1026 queues. The last tokens, fewer than a window, are cut into powers of
-two, which need no padding. Null texts are empty and give the end token alone; repeated rows and ids are packed as
-rows of their own; other columns are ignored; an empty table gives an empty result.
+A queue is a source (null and empty are one). The plan names those with 1/1024 of the tokens or more and those with
+a weight; all others are dealt by hash to at most 1024 buckets, and a bucket's part is shared among its sources by
+the same halving, with numbers that travel with the sources' rows. So each source has its share of every window, and
+the driver holds no list of all sources. The last tokens, fewer than a window, are cut into powers of two, which
+need no padding. Null texts are empty and give the end token alone; repeated rows and ids are packed as rows of their
+own; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, sliced
 
 SMALLEST_SHARE = 1024
+BUCKETS = 1024
+#: Weight of all sources together that have none: they come, in proportion to their tokens, after the others.
+UNWEIGHTED = 1e-9
 #: Rows of a batch that a worker turns into pieces at once.
 ROWS = 1000
 #: Totals by source and partition that are broadcast; more of them are joined by a shuffle.
@@ -36,6 +42,7 @@ class Plan:
     def __init__(self, totals: list[int], weights: list[float], window: int):
         self.window, self.total = window, sum(totals)
         left, self.phases, at = list(totals), [], 0
+        self.outer: dict[tuple[int, int], list[int]] = {}
         while any(left):
             alive = [i for i, x in enumerate(left) if x]
             w = {i: weights[i] if weights[i] > 0 else 1e-9 for i in alive}
@@ -70,50 +77,69 @@ class Plan:
         i = int(np.searchsorted(self.edges, x, side="right")) - 1
         return self.whole + i, self.edges[i], self.edges[i + 1]
 
-    @staticmethod
-    def served(below: list[int], queue: int, x: int) -> tuple[int, int]:
-        """Of the first x tokens of a phase: those of the queues before this one, and its own.
+    def pieces(self, queue: int, p: int, n: int, path: list[int] = ()):
+        """(first token, tokens, window, offset in it) of each piece of n tokens at place p of a source.
 
-        Halving the queues again and again and giving each half the floor or the rest of its share never takes a
-        served token back, and keeps each queue within a few tokens of its exact share.
+        ``path`` has the halvings from the queue down to the source, none if the queue is the source.
         """
-        lo, hi, before = 0, len(below) - 1, 0
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            whole = below[hi] - below[lo]
-            part = x * (below[mid] - below[lo]) // whole if whole else 0
-            if queue < mid:
-                x, hi = part, mid
-            else:
-                before, x, lo = before + part, x - part, mid
-        return before, x
-
-    def pieces(self, queue: int, p: int, n: int):
-        """(first token, tokens, window, offset in it) of each piece of n tokens at place p of a queue."""
         done = 0
-        for begin, size, below, gone in self.phases:
+        for i, (begin, size, below, gone) in enumerate(self.phases):
             amount, base = below[queue + 1] - below[queue], gone[queue]
-            if not amount or p >= base + amount:
+            if not amount or turn(path, p) >= base + amount:
                 continue
-            while n and p < base + amount:
-                q = p - base
-                k, start, end = self.sequence(begin + min(q * size // amount, size - 1))
-                while True:  # the window in which place q is served; the guess is off by a window at most
-                    before, have = self.served(below, queue, max(start - begin, 0))
-                    ahead, will = self.served(below, queue, min(end - begin, size))
-                    if q < have:
-                        k, start, end = self.sequence(start - 1)
-                    elif q >= will:
-                        k, start, end = self.sequence(end)
-                    else:
-                        break
-                take = min(n, will - q)
-                yield done, take, k, max(begin - start, 0) + (ahead - before) + (q - have)
+            if (i, queue) not in self.outer:
+                self.outer[i, queue] = halvings(below, queue)
+            outer = self.outer[i, queue]
+            while n and (y := turn(path, p)) < base + amount:
+                k, start, end = self.sequence(begin + turn(outer, y - base))
+                before, have = served(outer, max(start - begin, 0))
+                ahead, will = served(outer, min(end - begin, size))
+                (first, had), (last, has) = served(path, base + have), served(path, base + will)
+                take = min(n, has - p)
+                yield done, take, k, max(begin - start, 0) + (ahead - before) + (last - first) + (p - had)
                 done, n, p = done + take, n - take, p + take
             if not n:
                 return
 
 
+def halvings(below: list[int], queue: int) -> list[int]:
+    """The halvings of a row of queues that lead to one of them, flat: tokens, tokens of the first half, 1 for the second half."""
+    lo, hi, out = 0, len(below) - 1, []
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        out += [below[hi] - below[lo], below[mid] - below[lo], int(queue >= mid)]
+        lo, hi = (mid, hi) if queue >= mid else (lo, mid)
+    return out
+
+
+def served(path: list[int], x: int) -> tuple[int, int]:
+    """Of the first x tokens: those of the queues before the one that the halvings lead to, and its own.
+
+    Halving the queues again and again and giving each half the floor or the rest of its share never takes a
+    served token back, and keeps each queue within a few tokens of its exact share.
+    """
+    before = 0
+    for whole, first, second in zip(path[::3], path[1::3], path[2::3], strict=True):
+        part = x * first // whole if whole else 0
+        before, x = (before + part, x - part) if second else (before, part)
+    return before, x
+
+
+def turn(path: list[int], q: int) -> int:
+    """The position at which token q of a queue is served, the inverse of ``served``; the queue must have the token."""
+    for i in range(len(path) - 3, -1, -3):
+        whole, first, second = path[i : i + 3]
+        q = q * whole // (whole - first) if second else -(-(q + 1) * whole // first) - 1
+    return q
+
+
+def _paths(frame: pd.DataFrame) -> pd.DataFrame:
+    """The halvings that lead to each source of a bucket."""
+    frame = frame.sort_values("source")
+    below = [0, *(int(x) for x in frame["n"].cumsum())]
+    return pd.DataFrame({"source": frame["source"].to_numpy(), "bucket": frame["bucket"].to_numpy(), "path": [halvings(below, i) for i in range(len(frame))]})
+
+
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     def encode(batches):
         from pyspark import TaskContext
@@ -138,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     """Pieces of ``docs`` (doc_id, source, text) in windows of ``window`` tokens; see PIECES for the columns.
 
     ``weights`` are the target proportions by source, by default the sources' own shares, with which all queues end
-    together. ``ids`` of a piece are little-endian unsigned 32-bit numbers.
+    together; sources without one come after the others. ``ids`` of a piece are little-endian unsigned 32-bit numbers.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     rows = checkpoint(_encoded(docs, tokenizer, end_id))
@@ -146,22 +172,27 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     total = totals.agg(F.sum("n")).first()[0] or 0
     if not total:
         return docs.sparkSession.createDataFrame([], PIECES)
-    large = totals.groupBy("source").agg(F.sum("n").alias("n")).where(F.col("n") * SMALLEST_SHARE >= total).orderBy("source").collect()  # at most SMALLEST_SHARE rows
-    names, sizes = [r["source"] for r in large], [r["n"] for r in large]
-    rest = total - sum(sizes)
-    tail = len(names)
-    if rest and rest * SMALLEST_SHARE < total:
-        tail = sizes.index(min(sizes))
-        sizes[tail] += rest
-    elif rest:
-        sizes.append(rest)
-        names.append(None)
-    share = [float(weights.get(s, 0.0)) if s is not None else 0.0 for s in names] if weights else [float(n) for n in sizes]
+    by_source = totals.groupBy("source").agg(F.sum("n").alias("n"))
+    asked = {s: float(w) for s, w in (weights or {}).items() if w > 0}
+    named = F.col("n") * SMALLEST_SHARE >= total
+    if asked:
+        named = named | F.col("source").isin(*asked)
+    own = by_source.where(named).orderBy("source").collect()  # at most SMALLEST_SHARE rows, and those with a weight
+    queues, sizes = [(r["source"], i) for i, r in enumerate(own)], [r["n"] for r in own]
+    share = [float(n) if not weights else asked.get(r["source"], UNWEIGHTED * n / total) for r, n in zip(own, sizes, strict=True)]
+    sources = docs.sparkSession.createDataFrame(queues, "source string, queue int").withColumn("path", F.lit(None).cast("array<long>"))
+    if sum(sizes) < total:
+        small = by_source.where(~named).withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(BUCKETS)).cast("int"))
+        parts = small.groupBy("bucket").agg(F.sum("n").alias("n")).orderBy("bucket").collect()  # at most BUCKETS rows
+        numbers = docs.sparkSession.createDataFrame([(r["bucket"], len(own) + i) for i, r in enumerate(parts)], "bucket int, queue int")
+        paths = small.groupBy("bucket").applyInPandas(_paths, "source string, bucket int, path array<long>")
+        sources = sources.unionByName(paths.join(F.broadcast(numbers), "bucket").select("source", "queue", "path"))
+        sizes += [r["n"] for r in parts]
+        share += [float(r["n"]) if not weights else UNWEIGHTED * r["n"] / total for r in parts]
     plan = Plan(sizes, share, window)
 
-    queue = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(names) if s is not None for x in (s, i)]), F.col("source")), F.lit(tail)) if large else F.lit(tail)
-    order = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.withColumn("queue", queue).withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("source", "part", "queue", "base")
+    order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).join(sources, "source").select("source", "part", "queue", "path", "base")
 
     if totals.count() <= BROADCAST_TOTALS:
         bases = F.broadcast(bases)
@@ -169,14 +200,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     def cut(batches):
         for batch in sliced(batches, ROWS):
             out: list[list] = [[] for _ in range(8)]
-            columns = [batch.column(i).to_pylist() for i in range(6)]
-            for doc, source, q, place, n, blob in zip(*columns, strict=True):
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for doc, source, q, path, place, n, blob in zip(*columns, strict=True):
                 ids = np.frombuffer(blob, np.dtype(f"<u{len(blob) // n}")).astype("<u4")
-                for start, take, k, offset in plan.pieces(q, place, n):
+                for start, take, k, offset in plan.pieces(q, place, n, path or ()):
                     for column, x in zip(out, (doc, start, take, n, k, offset, source, ids[start : start + take].tobytes()), strict=True):
                         column.append(x)
             kinds = [pa.int64()] * 6 + [pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
-    placed = rows.join(bases, ["source", "part"]).select("doc_id", "source", "queue", (F.col("base") + F.col("place")).alias("place"), "n", "ids")
+    placed = rows.join(bases, ["source", "part"]).select("doc_id", "source", "queue", "path", (F.col("base") + F.col("place")).alias("place"), "n", "ids")
     return placed.mapInArrow(cut, PIECES)

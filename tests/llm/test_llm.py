@@ -134,6 +134,28 @@ def test_packing_plan_keeps_shares():
     assert all(abs(taken[k, q] - share) <= 2 for k in range(100) for q, share in enumerate((60, 30, 10)))
 
 
+@pytest.mark.parametrize("weights", [None, {"s7": 3.0, "big": 1.0}])
+def test_packing_gives_small_sources_their_share(spark, monkeypatch, weights):
+    monkeypatch.setattr(packing, "SMALLEST_SHARE", 4)
+    monkeypatch.setattr(packing, "BUCKETS", 5)
+    rows = [(i, f"s{i % 20}", "one two three four five six seven eight nine") for i in range(400)] + [(1000 + i, "big", "ten words") for i in range(1000)]
+    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3), P.path("word_bpe_49k.json"), window=256, weights=weights).collect()
+    size, taken, spans = Counter(), Counter(), {}
+    for p in pieces:
+        size[p["source"]] += p["length"]
+        taken[p["source"], p["sequence_id"]] += p["length"]
+        spans.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    total = sum(size.values())
+    for k, got in spans.items():
+        ends = [0, *(o + n for o, n in sorted(got))]
+        assert [o for o, _ in sorted(got)] == ends[:-1]
+        assert ends[-1] == 256 or k >= total // 256
+    if weights:
+        assert abs(taken["s7", 0] - 192) <= 8 and abs(taken["big", 0] - 64) <= 8
+    else:
+        assert all(abs(taken[s, k] - 256 * size[s] / total) <= 8 for s in size for k in range(total // 256))
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty, P.path("word_bpe_49k.json")).count() == 0
 
