@@ -91,12 +91,29 @@ def get(url: str, opener=urllib.request.urlopen, sleep=time.sleep, timeout: floa
     return None
 
 
-def pages(fetch, base: str, path: str, params: dict, paging: str, size: int, most: int) -> Iterator[tuple[str, int, str]]:
-    """(url, page, body) by page number (``page``/total in the reply), offset, or the link to the next page."""
-    url, n = build_url(base, path, params), 1
+def _at(reply: Any, path: str) -> Any:
+    """The value at a dotted path of a reply, none if a step is missing."""
+    for k in path.split("."):
+        reply = reply.get(k) if isinstance(reply, dict) else None
+    return reply
+
+
+def pages(fetch, base: str, path: str, params: dict, paging: str, size: int, most: int, at: dict | None = None) -> Iterator[tuple[str, int, str]]:
+    """(url, page, body) by page number (``page``/total in the reply), offset, or the link to the next page.
+
+    ``at`` has the service's own names: ``page`` and ``size`` of the parameters, and the paths of ``total``, ``rows`` and
+    ``served`` (the page size that the reply names). With paging ``rows`` the offset moves on by the rows that came,
+    with ``pages`` (from 0) the size of the first reply holds; the first request of both leaves paging to the service.
+    """
+    at = at or {}
+    url, n, come = build_url(base, path, params), 1, 0
+    step: dict[str, Any] = {}
     while url and n <= most:
-        at = {"page": {"page": n, "per_page": size}, "offset": {"offset": (n - 1) * size, "limit": size}}.get(paging, {})
-        request = build_url(base, path, params | at) if paging in ("page", "offset") else url
+        if paging == "page":
+            step = {"page": n, "per_page": size}
+        elif paging == "offset":
+            step = {"offset": (n - 1) * size, "limit": size}
+        request = build_url(base, path, params | step) if paging in ("page", "offset", "rows", "pages") else url
         body = fetch(request)
         if body is None:
             return
@@ -113,7 +130,17 @@ def pages(fetch, base: str, path: str, params: dict, paging: str, size: int, mos
         elif paging == "page":
             url = request if n < int(head.get("pages") or head.get("totalPages") or head.get("maxPages") or 1) else None
         elif paging == "offset":
-            url = request if n * size < int(head.get("total") or head.get("num_found") or 0) else None
+            total = _at(head, at["total"]) if at.get("total") else head.get("total") or head.get("num_found")
+            url = request if n * size < int(total or 0) else None
+        elif paging == "rows":
+            got = _at(head, at["rows"]) or {}
+            new = len([k for k in got if k != "facets"])
+            come += new
+            step = {at["size"]: size, at["page"]: come}
+            url = request if new and come < int(_at(head, at["total"]) or 0) else None
+        elif paging == "pages":
+            step = {at["size"]: _at(head, at["served"]) or size, at["page"]: n}
+            url = request if _at(head, at["rows"]) and n < int(_at(head, at["total"]) or 0) else None
         else:
             url = None
         n += 1
@@ -166,7 +193,7 @@ class PagedJsonReader(DataSourceReader):
             return
         o = self.options
         params = json.loads(o.get("params", "{}"))
-        for url, n, body in pages(fetcher(o), o["base"], partition.path, params, o.get("paging", "page"), int(o.get("pagesize", 100)), int(o.get("maxpages", 1_000_000))):
+        for url, n, body in pages(fetcher(o), o["base"], partition.path, params, o.get("paging", "page"), int(o.get("pagesize", 100)), int(o.get("maxpages", 1_000_000)), json.loads(o.get("at", "{}"))):
             yield url, partition.path, n, body
 
 

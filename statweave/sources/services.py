@@ -23,15 +23,19 @@ class Service(NamedTuple):
     base: str
     paging: str = "none"
     size: int = 100
+    at: dict[str, str] = {}
 
 
+#: Names of the paging parameters, and where a reply has its total and its rows.
+OS_ROWS = {"page": "os", "size": "rows", "total": "total"}
+SEARCH_PAGES = {"page": "page", "size": "size", "total": "_embedded.searchResult.page.totalPages", "rows": "_embedded.searchResult._embedded.objects", "served": "_embedded.searchResult.page.size"}
 #: Addresses of the services and how they page.
 SERVICES = {
     "indicators": Service("https://api.worldbank.org/v2", "page", 1000),
-    "reports": Service("https://search.worldbank.org/api/v3", "offset", 50),
-    "repository": Service("https://openknowledge.worldbank.org/server/api", "none", 20),
-    "projects": Service("https://search.worldbank.org/api/v2", "offset", 50),
-    "series": Service("https://api.db.nomics.world/v22", "offset", 1000),
+    "reports": Service("https://search.worldbank.org/api/v3", "rows", 50, OS_ROWS | {"rows": "documents"}),
+    "repository": Service("https://openknowledge.worldbank.org/server/api", "pages", 20, SEARCH_PAGES),
+    "projects": Service("https://search.worldbank.org/api/v2", "rows", 50, OS_ROWS | {"rows": "projects"}),
+    "series": Service("https://api.db.nomics.world/v22", "offset", 1000, {"total": "series.num_found"}),
     "cubes": Service("https://ec.europa.eu/eurostat/api/dissemination"),
     "goals": Service("https://unstats.un.org/SDGAPI/v1/sdg", "page", 1000),
     "charts": Service("https://ourworldindata.org/grapher"),
@@ -62,7 +66,7 @@ def scan(spark: SparkSession, service: str | Service, path: str | list[str], par
     """Pages (url, path, page, body) of one path or several."""
     register(spark)
     s = SERVICES[service] if isinstance(service, str) else service
-    options = {"base": s.base, "paging": s.paging, "pagesize": str(s.size), "path": path if isinstance(path, str) else "|".join(path), "params": json.dumps(params or {})}
+    options = {"base": s.base, "paging": s.paging, "pagesize": str(s.size), "at": json.dumps(s.at), "path": path if isinstance(path, str) else "|".join(path), "params": json.dumps(params or {})}
     return spark.read.format("paged_json").options(**options | {k: str(v) for k, v in io.items()}).load()
 
 

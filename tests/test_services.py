@@ -92,3 +92,24 @@ def test_repository_and_projects(spark, tmp_path, io):
     record(tmp_path, "projects", "projects", {"format": "json", "qterm": "roads"}, {"total": 1, "projects": {"P1": project}})
     r = services.project_search(spark, "roads", **io).first()
     assert (r["amount"], r["sectors"]) == (1500, ["Roads (60%)"])
+
+
+def test_paging_goes_on_to_the_last_page(spark, tmp_path, io):
+    doc = lambda i: {"id": str(i), "display_title": f"T{i}"}
+    asked = {"format": "json", "qterm": "g"}
+    record(tmp_path, "reports", "wds", asked, {"total": 3, "documents": {"D1": doc(1), "D2": doc(2), "facets": {}}})
+    record(tmp_path, "reports", "wds", asked | {"rows": 50, "os": 2}, {"total": 3, "documents": {"D3": doc(3), "facets": {}}})
+    assert sorted(r["id"] for r in services.reports(spark, "g", **io).collect()) == ["1", "2", "3"]
+    project = lambda i: {"id": f"P{i}", "project_name": "Roads", "totalamt": "1", "status": "Active"}
+    record(tmp_path, "projects", "projects", asked, {"total": "2", "projects": {"P1": project(1)}})
+    record(tmp_path, "projects", "projects", asked | {"rows": 50, "os": 1}, {"total": "2", "projects": {"P2": project(2)}})
+    assert sorted(r["id"] for r in services.project_search(spark, "g", **io).collect()) == ["P1", "P2"]
+    found = lambda u: {"_embedded": {"searchResult": {"page": {"size": 1, "totalPages": 2}, "_embedded": {"objects": [{"_embedded": {"indexableObject": {"uuid": u, "handle": u, "metadata": {"dc.title": [{"value": u}]}}}}]}}}}
+    asked = {"query": "jobs", "f.entityType": "Publication,equals", "embed": "bundles/bitstreams"}
+    record(tmp_path, "repository", "discover/search/objects", asked, found("u"))
+    record(tmp_path, "repository", "discover/search/objects", asked | {"size": 1, "page": 1}, found("v"))
+    assert sorted(r["title"] for r in services.repository_search(spark, "jobs", **io).collect()) == ["u", "v"]
+    values = lambda code: {"series": {"num_found": 1001, "docs": [{"provider_code": "P", "dataset_code": "D", "series_code": code, "dimensions": {"geo": "FR"}, "period": ["2020"], "value": [1]}]}}
+    for page, code in ((1, "S"), (2, "T")):
+        record(tmp_path, "series", "series", {"series_ids": "P/D/S", "observations": 1, "metadata": 0}, values(code), page=page)
+    assert sorted(r["series_id"] for r in services.series(spark, ["P/D/S"], **io).collect()) == ["P/D/S", "P/D/T"]
