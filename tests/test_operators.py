@@ -236,3 +236,13 @@ def test_entity_resolution_query_compares_whole_first_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["item_id"]: r["group_id"] for r in catalogue.QUERIES["entity_resolution"](spark, str(tmp_path)).collect()}
     assert got == {"0": "0", "1": "1", "2": "0"}
+
+
+def test_hits_are_spread_over_pages_before_the_cap(spark):
+    pages = spark.createDataFrame([("d", 1, "growth of trade is slow. " * 12), ("d", 2, "growth of trade is slow.")], "doc_id string, page int, text string")
+    quotes = spark.createDataFrame([("q", "growth of trade is slow")], "quote_id string, quote string")
+    hits = citations.find_quotes(pages, quotes)
+    assert sorted(r["page"] for r in hits.collect()) == [1] * 9 + [2]
+    exact = citations.exact_hits(pages, quotes).withColumn("tier", F.lit("exact"))
+    claims = spark.createDataFrame([("q", "d", 2)], "quote_id string, doc_id string, cited_page int")
+    assert citations.verdicts(claims, exact, pages).first()["verdict"] == "FOUND"
