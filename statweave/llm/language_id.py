@@ -47,8 +47,18 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return lower, letter
 
 
+def _folded(code: int) -> int:
+    """16 bits for a character above U+FFFF, a blank if it isn't a letter and never a blank if it is one."""
+    c = chr(code)
+    if not c.isalpha():
+        return BLANK
+    low = c.lower()
+    key = (ord(low) if len(low) == 1 else code) & 0xFFFF
+    return key if key != BLANK else key | 0x8000
+
+
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the ORDER-grams of UTF-8 texts, 16 bits a character (higher planes are folded), and the grams before each text.
+    """Keys of the ORDER-grams of UTF-8 texts, 16 bits a character (letters of higher planes are folded), and the grams before each text.
 
     Characters before a text count as blanks; runs of blanks are one; a text without letters has no grams.
     """
@@ -61,6 +71,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
         places = np.cumsum([0, *map(len, texts)])
     seq = lower[(codes & 0xFFFF).astype(np.uint16)]
+    high = codes > 0xFFFF
+    if high.any():
+        found, at = np.unique(codes[high], return_inverse=True)
+        seq[high] = np.array([_folded(int(c)) for c in found], np.uint16)[at]
     first = np.zeros(len(seq) + 1, bool)
     first[places] = True
     blank = seq == BLANK

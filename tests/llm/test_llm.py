@@ -288,6 +288,13 @@ def test_classifiers_take_odd_rows(spark, odd, empty):
     assert language_id.fit(empty, every) is None and language_id.identify(odd, None).where("lang_pred != 'und'").count() == 0
 
 
+def test_letters_above_the_basic_plane_count():
+    texts = ["\U0002a700\U0002a701", "\U00010900", "\U00010330", "\U00020020", "\U0001d100", "\U0001f600 12", "a"]
+    blobs = [t.encode() for t in texts]
+    _, bounds = language_id.grams(np.frombuffer(b"".join(blobs), np.uint8), np.cumsum([0, *map(len, blobs)]))
+    assert [n > 0 for n in np.diff(bounds)] == [True, True, True, True, False, False, True]
+
+
 def test_kneser_ney_sums_to_one():
     data = np.frombuffer(b"the cat sat on the mat and the rat", np.uint8)
     keys, _ = language_id.grams(data, np.array([0, len(data)]))
