@@ -6,10 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def first_seen(seq: Column, value: Column) -> Column:
+    """Aggregate: distinct non-empty values in the order in which they first come."""
+    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull() & (value.cast("string") != ""), F.struct(seq.alias("seq"), value.cast("string").alias("v")))))
+    return F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+
+
 def distinct_join(seq: Column, value: Column, sep: str = ",", most: int | None = None) -> Column:
     """Aggregate: distinct non-empty values in first-seen order, or ``N values (see file)`` beyond ``most``."""
-    pairs = F.array_sort(F.collect_list(F.when(value.isNotNull() & (value.cast("string") != ""), F.struct(seq.alias("seq"), value.cast("string").alias("v")))))
-    values = F.array_distinct(F.transform(pairs, lambda x: x["v"]))
+    values = first_seen(seq, value)
     joined = F.array_join(values, sep)
     return joined if most is None else F.when(F.size(values) > most, F.concat(F.size(values).cast("string"), F.lit(" values (see file)"))).otherwise(joined)
 
@@ -21,10 +26,34 @@ def inverted_to_text(index: Column) -> Column:
 
 
 def inverted_index(text: Column) -> Column:
-    """``{word: [positions]}`` of a text's blank-separated words."""
-    words = F.split(text, " ")
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    return F.map_from_entries(F.transform(F.array_distinct(words), lambda k: F.struct(k.alias("key"), F.transform(F.filter(numbered, lambda x: x["w"] == k), lambda x: x["i"]).alias("value"))))
+    """``{word: [positions]}`` of a text's blank-separated words: sorted words, cut where a new one begins."""
+    pairs = F.array_sort(F.transform(F.split(text, " "), lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def entries(pairs: Column) -> Column:
+        n = F.size(pairs)
+        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(pairs, i)["w"] != F.get(pairs, i - 1)["w"]))
+
+        def entry(first: Column) -> Column:
+            def places(i: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(first, k + 1), n)
+                return F.struct(F.get(pairs, i)["w"].alias("key"), F.transform(F.slice(pairs, i + 1, end - i), lambda x: x["i"]).alias("value"))
+
+            return F.transform(first, places)
+
+        return once(first, entry)
+
+    return F.map_from_entries(once(pairs, entries))
+
+
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an integer array up to and with each item, in one pass over the array for each doubling of its length."""
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.pow(F.lit(2), i).cast("int")), lambda back: back < F.size(numbers))
+    return F.aggregate(steps, numbers, lambda now, back: F.transform(now, lambda x, i: x + F.when(i >= back, F.get(now, i - back)).otherwise(F.lit(0))))
 
 
 def packed_list(json: Column, value_ddl: str = "string") -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
 from ..functions.text import norm_doi, norm_title
 
 RRF_K = 60
@@ -25,24 +26,12 @@ def blocks(items: DataFrame) -> DataFrame:
     rows = items.withColumn("_doi", norm_doi(F.col("doi"))).withColumn("_title", F.when(F.length(title) >= SHORTEST_TITLE, title)).withColumn("_row", F.xxhash64("source", "source_order", "rank", "item_id", "title", "doi"))
     links = rows.select("_row", F.explode(F.array_compact(F.array(F.concat(F.lit("d"), "_doi"), F.concat(F.lit("t"), F.sha2("_title", 256))))).alias("k"))
     labels = rows.select("_row", F.col("_row").alias("_block")).distinct()
-    before = None
     while True:
         low = links.join(labels, "_row").groupBy("k").agg(F.min("_block").alias("b"))
         moved = links.join(low, "k").groupBy("_row").agg(F.min("b").alias("b"))
-        labels = _cut(labels.join(moved, "_row", "left").select("_row", F.least("_block", F.coalesce("b", "_block")).alias("_block")))
-        now = labels.agg(F.sum(F.col("_block").cast("decimal(38,0)"))).first()[0]
-        if now == before:
-            return rows.join(labels, "_row")
-        before = now
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint()
+        labels = cut(labels.join(moved, "_row", "left").select("_row", F.least("_block", F.coalesce("b", "_block")).alias("_block"), F.coalesce(F.col("b") < F.col("_block"), F.lit(False)).alias("_moved")))
+        if labels.where("_moved").isEmpty():
+            return rows.join(labels.drop("_moved"), "_row")
 
 
 def resolve(items: DataFrame) -> DataFrame:

@@ -135,3 +135,9 @@ def series_of_datasets(series: DataFrame, text_match: Column, datasets: int = 5,
     hits = series.where(text_match)
     top = hits.groupBy("dataset").agg(F.count("*").alias("matches")).orderBy(F.col("matches").desc(), "dataset").limit(datasets)
     return hits.join(F.broadcast(top), "dataset").withColumn("_n", F.row_number().over(Window.partitionBy("dataset").orderBy("series"))).where(F.col("_n") <= each).drop("_n")
+
+
+def union_of_codes(a: DataFrame, b: DataFrame, key: str, left: str, right: str, out: str) -> DataFrame:
+    """The codes that either of two constraints allows for a key."""
+    none = F.array().cast("array<string>")
+    return a.join(b, key, "full_outer").select(key, F.array_union(F.coalesce(left, none), F.coalesce(right, none)).alias(out))

@@ -100,3 +100,15 @@ def spread_hits(hits: DataFrame, doc: str, page: str, place: str, k: int) -> Dat
     """k hits spread over the pages: first ones of all pages before second ones."""
     nth = rank(hits, F.col(place), name="nth", by=[doc, page])
     return top_per_group(nth, [doc], [F.col("nth"), F.col(page)], k)
+
+
+def latest_actual(df: DataFrame, key: list[str], period: str, actual: Column) -> DataFrame:
+    """(key, latest_actual) of the keys with an actual value: the last period that isn't a projection."""
+    return df.where(actual).groupBy(*key).agg(F.max(period).alias("latest_actual"))
+
+
+def vintage(df: DataFrame, agency: str, agencies: list[str], released: str) -> DataFrame:
+    """The rows of each wanted agency's newest vintage."""
+    wanted = df.where(F.col(agency).isin(*agencies))
+    newest = wanted.groupBy(agency).agg(F.max(released).alias(released))
+    return wanted.join(newest, [agency, released], "left_semi").select(*df.columns)

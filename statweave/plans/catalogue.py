@@ -308,9 +308,7 @@ def entity_resolution(spark, sf_dir):
 @query("SELECT doc_id, md5(text) AS md5 FROM documents")
 def inverted_index_roundtrip(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    index = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w")).groupBy("doc_id", "w").agg(F.collect_list("i").alias("at"))
-    maps = index.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "at"))).alias("m"))
-    return maps.select("doc_id", F.md5(nested.inverted_to_text(F.col("m"))).alias("md5"))
+    return docs.select("doc_id", nested.inverted_index(F.col("text")).alias("m")).select("doc_id", F.md5(nested.inverted_to_text(F.col("m"))).alias("md5"))
 
 
 @query("""WITH n AS (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS k FROM nation), r AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS j, count(*) OVER () AS m FROM region)
@@ -430,10 +428,16 @@ def quote_ellipsis(spark, sf_dir):
     return citations.ellipsis_hits(_whole(spark, sf_dir), q).select("quote_id", "doc_id")
 
 
-@query()
+@query(f"""WITH q AS (SELECT item_id, string_split({NORM.format('text')}, ' ') AS qw FROM benchmark), b AS (SELECT * FROM q WHERE len(qw) >= 4), d AS (SELECT doc_id, string_split({NORM.format('text')}, ' ') AS pw FROM documents),
+qc AS (SELECT item_id, n, w, count(*) AS c FROM (SELECT item_id, len(qw) AS n, unnest(qw) AS w FROM b) GROUP BY ALL), pp AS (SELECT doc_id, len(pw) AS m, unnest(pw) AS w, unnest(range(len(pw))) AS i FROM d), pc AS (SELECT doc_id, m, w, count(*) AS c FROM pp GROUP BY ALL),
+near AS (SELECT item_id, n, doc_id, m FROM qc JOIN pc USING (w) GROUP BY ALL HAVING sum(least(qc.c, pc.c)) >= 0.8 * n - 1e-9),
+k AS (SELECT item_id, n, doc_id, s, unnest(range(m - s + 1)) AS a FROM (SELECT DISTINCT item_id, n, doc_id, m, least(unnest([n, n + greatest(1, n // 5)]), m) AS s FROM near)),
+v AS (SELECT k.item_id, n, k.doc_id, s, a, w, least(count(*), any_value(qc.c)) AS c FROM k JOIN qc USING (item_id, n) JOIN pp USING (doc_id, w) WHERE pp.i >= a AND pp.i < a + s GROUP BY ALL),
+r AS (SELECT item_id, doc_id, s, a, sum(c) / n AS share FROM v GROUP BY item_id, n, doc_id, s, a)
+SELECT item_id AS quote_id, doc_id, CAST(1 AS BIGINT) AS page, round(share, 3) AS score, CAST(a AS BIGINT) AS first_word, CAST(a + s AS BIGINT) AS last_word FROM r WHERE share >= 0.8 QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY share DESC, s, a) = 1""")
 def quote_fuzzy(spark, sf_dir):
-    """Rows only: the sliding window is held against a plain version in the tests."""
-    return citations.fuzzy_hits(_whole(spark, sf_dir), _quotes(spark, sf_dir), 0.8)
+    hits = citations.fuzzy_hits(_whole(spark, sf_dir), _quotes(spark, sf_dir), 0.8)
+    return hits.withColumns({c: F.col(c).cast("long") for c in ("page", "first_word", "last_word")})
 
 
 @query(f"""WITH b AS (SELECT item_id, text, {NORM.format('text')} AS q FROM benchmark), d AS (SELECT doc_id, text, {NORM.format('text')} AS t FROM documents),

@@ -164,7 +164,24 @@ def test_ellipsis_and_columns(spark):
     quotes = spark.createDataFrame([(1, "alpha ... beta … gamma"), (2, "gamma ... alpha")], "quote_id int, quote string")
     assert [r["quote_id"] for r in citations.ellipsis_hits(pages, quotes).collect()] == [1]
     left, right = "some words of prose on this side", "and other words of prose on that"
-    assert citations.two_columns("\n".join([left + "     " + right] * 9)) and not citations.two_columns("\n".join([left] * 12))
+    texts = ["\n".join([left + "     " + right] * 9), "\n".join([left] * 12), "\n".join(["left side word   right words go"] * 10), "\n".join([left] * 7 + [" " * 40 + right] * 4), "", None]
+    pages = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", citations.two_columns(F.col("text")).alias("two"))
+    assert [r["two"] for r in pages.orderBy("i").collect()] == [True, False, False, True, False, False]
+
+
+def test_places_of_overlapping_occurrences(spark):
+    rows = [("aaaa", "aa"), ("abcabc", "abc"), ("x😀y😀", "😀"), ("a.b", "."), (r"x\Ey\E", r"\E"), ("abc", "d"), ("", "a"), ("a", "")]
+    got = spark.createDataFrame(list(enumerate(rows)), "i int, x struct<text:string,quote:string>").select("i", citations.overlapping(F.col("x.text"), F.col("x.quote")).alias("at")).orderBy("i").collect()
+    assert [r["at"] for r in got] == [[i + 1 for i in range(len(t)) if q and t.startswith(q, i)] for t, q in rows]
+
+
+def test_a_hit_over_a_page_break_is_on_both_pages(spark):
+    pages = spark.createDataFrame([("d", 1, "It rose in the year"), ("d", 2, "of plenty, they say.")], "doc_id string, page int, text string")
+    quotes = spark.createDataFrame([(1, "in the year of plenty"), (2, "ay"), (3, "y")], "quote_id int, quote string")
+    hits = citations.find_quotes(pages, quotes)
+    assert {(r["quote_id"], tuple(r["pages"])) for r in hits.collect()} == {(1, (1, 2)), (2, (2,)), (3, (1,)), (3, (2,))}
+    claims = spark.createDataFrame([(1, "d", 1), (1, "d", 2), (1, "d", 3)], "quote_id int, doc_id string, cited_page int")
+    assert [r["verdict"] for r in citations.verdicts(claims, hits, pages).orderBy("cited_page").collect()] == ["FOUND", "FOUND", "OTHER PAGE"]
 
 
 def test_only_totals(spark):
