@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 
 import numpy as np
@@ -14,7 +17,7 @@ U64 = np.uint64
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a worker's temporary arrays.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -23,10 +26,13 @@ _MULT = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the cluster's shared checkpoint folder; a folder of our own only if none is set."""
+    """Cut the lineage through the shared folder of spark.checkpoint.dir; a folder of our own only on one machine."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -86,6 +92,21 @@ def sliced(batches, rows: int = 1000):
             yield batch.slice(i, rows)
 
 
+def relieved(run):
+    """A worker's function over batches that gives freed memory back to the machine when its batches end.
+
+    Workers are used again for other tasks; what an allocator keeps of one stage's arrays would add up with the next's.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(out >= 65) & (out <= 90)] += 32

@@ -1,16 +1,21 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of distinct k-word shingles. Equal sets are one node from the start. Similar nodes, those that
-share most of their rare tokens with the same leader, form groups cut to a bounded size; a group keeps the matrix of
-its members' tokens over the union of them. A node queries a group only if some of its rarest tokens are among the
-rarest tokens of the group's members, and the group is opened only if the query's overlap with the union can reach
-what the threshold needs. No link is lost, whatever the grouping:
+Documents are sets of distinct k-word shingles. Equal sets are one node from the start. A node follows the leader with
+which it shares most of its rare tokens; nodes with the same leader are a family. The followers of a large family are
+compared with their leader first, one comparison a node, and what links is one part from then on: tokens that only one
+part holds drop out. What is left is a matrix of rare tokens and families, with the sizes that a family holds of a token. Pairs of
+families that share enough tokens are expanded to the members of the smaller one, and a member queries the other
+family only if it shares enough tokens itself. A family is cut to groups of a bounded size; a group keeps the matrix
+of its members' tokens over the union of them and is opened only if the query's overlap with the union can reach what
+the threshold needs. No link is lost, whatever the families:
 
 * two sets with Jaccard similarity t or more share s tokens among the first ``n - ceil(t n) + s`` of each under any
   one order of all tokens, for any s up to ``ceil(t n)``; the order here is by the count of a token's hash bucket,
   then by hash, and the counts are a table of fixed size whatever the input;
+* if the two lie in different parts, each of these tokens is held by two parts;
 * a member's overlap with the query is at most the query's overlap with the union;
-* of two nodes in different groups, one queries the other's group; inside a group all are compared.
+* of two nodes in different families, one queries the other's; inside a family all but the members of its largest
+  part query all, and the members of that part are connected already.
 
 Links of an opened group are reported as a spanning forest, so a group of copies gives as many rows as it has
 members, not as many as pairs.
@@ -28,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, document_shingles, mix, sliced
+from .common import checkpoint, connected_components, document_shingles, mix, parallelism, relieved, sliced
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
 ORDER_BITS = 21
@@ -39,7 +44,9 @@ ID_BITS = 23
 #: Shingles in a group's members together; a larger set is a group of its own.
 GROUP_TOKENS = 1 << 18
 #: Queries of one group that one task compares; more are dealt to further copies of the group.
-GROUP_QUERIES = 4096
+GROUP_QUERIES = 1024
+#: Slices of the count table, each added up in a task of its own.
+SLICES = 64
 
 
 def needed(n: int | np.ndarray, num: int, den: int):
@@ -57,7 +64,7 @@ TO_SHARE = f"greatest(1, least({SHARED_MOST}, n div {SHARED_PER}))"
 
 def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
     """Documents per hash bucket of their tokens; partitions send their tables in slices, which are added up."""
-    size, slices = 1 << ORDER_BITS, 64
+    size, slices = 1 << ORDER_BITS, SLICES
 
     def count(batches):
         table = np.zeros(size, np.int64)
@@ -68,21 +75,22 @@ def _bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
             table[at] += often
         if table.any():
             step = size // slices
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([table[i * step : (i + 1) * step].astype(np.uint32).tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
+            narrow = next(t for t in (np.uint8, np.uint16, np.uint32, np.int64) if table.max() <= np.iinfo(t).max)
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([table[i * step : (i + 1) * step].astype(narrow).tobytes() for i in range(slices)], pa.binary())], ["slice", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(blob, np.uint32 if len(blob) == 4 * size // slices else np.int64).astype(np.int64)
+                part = np.frombuffer(blob, {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}[len(blob) * slices // size]).astype(np.int64)
                 total[i] = total.get(i, 0) + part
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema)
+    parts = docs.select("text").coalesce(parallelism(docs.sparkSession)).mapInArrow(relieved(count), schema)  # one table a task, however many files
     table = np.zeros(size, np.int64)
     step = size // slices
-    for row in parts.repartition(8, "slice").mapInArrow(add, schema).collect():
+    for row in parts.repartition(slices, "slice").mapInArrow(add, schema).collect():
         table[row["slice"] * step : (row["slice"] + 1) * step] += np.frombuffer(row["counts"], np.int64)
     return np.minimum(table, 2**32 - 1).astype(np.uint32)
 
@@ -119,14 +127,15 @@ def _described(docs: DataFrame, k: int, num: int, den: int, table) -> DataFrame:
                 first.append(tokens[chosen].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "first"])
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, d1 long, d2 long, first array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(relieved(describe), "doc_id long, n long, d1 long, d2 long, first array<bigint>")
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """(rep, tokens): the sorted sets of the wanted documents, and of few others, as little-endian 64-bit words.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of the wanted documents, and of few others.
 
-    A bitmap of the wanted ids (ID_BITS bits, whatever the input) keeps most other texts from being hashed and moved;
-    the join with the wanted ids is exact. A partition gives a repeated row's set once.
+    A bitmap of the wanted ids (ID_BITS bits, whatever the input) keeps most other texts from being moved; the join
+    with the wanted ids is exact. Texts take less room than their sets of hashes, so these are made where they are
+    compared. A partition gives a repeated row once.
     """
     at = F.pmod("rep", F.lit(1 << ID_BITS)) + 1  # the bitmap functions count from 1
     parts = wanted.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()  # ID_BITS bits at most
@@ -136,22 +145,20 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
         bitmap[lo : lo + len(row["bits"])] |= np.frombuffer(row["bits"], np.uint8)[: len(bitmap) - lo]
     ids = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def pack(batches):
-        seen: set[tuple[int, bytes]] = set()
+    def pick(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in sliced(batches):
             batch = batch.filter(pc.is_valid(batch.column(0)))
             at = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << ID_BITS) - 1)
             batch = batch.filter(pa.array((ids.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
-            reps, sets = [], []
-            for rep, tokens in zip(batch.column(0).to_pylist(), document_shingles(batch.column(1), k), strict=True):
-                mark = (rep, tokens[:4].tobytes() + len(tokens).to_bytes(8, "little") + int(np.bitwise_xor.reduce(tokens) if len(tokens) else 0).to_bytes(8, "little"))
-                if mark not in seen:
-                    seen.add(mark)
-                    reps.append(rep)
-                    sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.binary())], ["rep", "tokens"])
+            marks = [(rep, hash(text)) for rep, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True)]
+            new = []
+            for mark in marks:
+                new.append(mark not in seen)
+                seen.add(mark)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(new, pa.bool_())).columns, ["rep", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(pack, "rep long, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(relieved(pick), "rep long, text string")
 
 
 def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
@@ -165,7 +172,7 @@ def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num
     parts = queries.join(counts, "g").select("g", F.expr(f"pmod(xxhash64(q), asked div {GROUP_QUERIES} + 1)").cast("int").alias("copy"), F.lit(1).alias("kind"), F.col("q").alias("rep"))
     parts = parts.unionByName(members.join(counts, "g").select("g", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), F.lit(0).alias("kind"), "rep"))
     parts = checkpoint(parts)
-    shaped = _sets(docs, k, parts.select("rep").distinct()).join(parts, "rep").select("g", "copy", "kind", F.col("rep").alias("id"), "tokens")
+    shaped = _texts(docs, parts.select("rep").distinct()).join(parts, "rep").select("g", "copy", "kind", F.col("rep").alias("id"), "text")
 
     def compare(batches):
         group, ids, sets, matrix, root = None, [], [], None, {}
@@ -177,10 +184,9 @@ def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num
             return i
 
         for batch in sliced(batches, 500):
-            g, c, kind, node, blobs = (batch.column(i).to_pylist() for i in range(5))
+            g, c, kind, node = (batch.column(i).to_pylist() for i in range(4))
             left, right = [], []
-            for at, is_query, i, blob in zip(zip(g, c, strict=True), kind, node, blobs, strict=True):
-                tokens = np.frombuffer(blob, np.uint64)
+            for at, is_query, i, tokens in zip(zip(g, c, strict=True), kind, node, document_shingles(batch.column(4), k), strict=True):
                 if at != group:
                     group, ids, sets, matrix, root = at, [], [], None, {}
                 if not is_query:
@@ -212,7 +218,7 @@ def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     dealt = shaped.repartition("g", "copy").sortWithinPartitions("g", "copy", "kind")
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(relieved(compare), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -222,31 +228,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     table = spark.sparkContext.broadcast(_bucket_counts(docs, k))
     rows = checkpoint(_described(docs, k, num, den, table))
     full = rows.where("n > 0 and doc_id is not null")
-    posts = checkpoint(_shared(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first"))))
+    sets = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("first", ignorenulls=True).alias("first"))
     nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-
-    # Groups: each node follows the node that comes first (the smallest) in most of its tokens' lists.
-    first = F.expr("first(rep) over (partition by token order by n, rep)")
-    leads = posts.select("rep", "n", first.alias("leader")).groupBy("rep", "leader").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
-    leads = leads.groupBy("rep").agg(F.max(F.struct("shared", (-F.col("leader")).alias("leader"))).alias("x"), F.max("n").alias("n")).select("rep", F.when(F.col("x.shared") >= F.expr(TO_SHARE), -F.col("x.leader")).otherwise(F.col("rep")).alias("leader"))
-    sizes = posts.groupBy("rep").agg(F.max("n").alias("n")).join(leads, "rep")
-    total = sizes.groupBy("leader").agg(F.sum("n").alias("total"))
-    placed = checkpoint(sizes.join(total, "leader").select("rep", "n", F.expr(f"xxhash64(leader, pmod(xxhash64(rep), total div {GROUP_TOKENS} + 1))").alias("g")))
-
-    # Token-group matrix: which groups hold a token among their members' first ones, and the sizes they hold.
-    # A group of several is asked by its own members; tokens of one group only lead nowhere else.
-    members = placed.select("rep", "g")
-    several = members.groupBy("g").agg(F.count("*").alias("held")).where("held > 1").select("g")
-    own = members.join(several, "g").select(F.col("rep").alias("q"), "g")
-    cells = posts.join(members, "rep").distinct()
-    matrix = cells.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.withColumn("groups", F.expr("count(*) over (partition by token)")).where("groups > 1").drop("groups")
-    a, b = cells.alias("a"), matrix.alias("b")
-    met = a.join(b, F.expr(f"a.token = b.token and a.g > b.g and b.least * {num} <= a.n * {den} and a.n * {num} <= b.most * {den}"))
-    met = met.groupBy(F.col("a.rep").alias("q"), F.col("b.g").alias("g")).agg(F.countDistinct("a.token").alias("shared"), F.min(F.least("a.n", "b.least")).alias("n"))
-    asked = checkpoint(met.where(f"shared >= {TO_SHARE}").select("q", "g").union(own))
-    needs = asked.select("g").distinct().join(members, "g")
-    links = _opened(docs, k, asked, needs, num, den)
+    posts = checkpoint(_shared(sets))
+    homes = checkpoint(_followed(posts, num, den))
+
+    # In families that are more than one group followers meet their leaders first; what links is a part.
+    large = homes.groupBy("leader").agg(F.sum("n").alias("total")).where(f"total > {GROUP_TOKENS}").select("leader")
+    pairs = homes.where("leader != rep").join(large, "leader")
+    stars = checkpoint(_opened(docs, k, pairs.select(F.col("leader").alias("g"), F.col("rep").alias("q")), pairs.select(F.col("leader").alias("g"), F.col("leader").alias("rep")).distinct(), num, den))
+    up = stars.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("part"))
+    over = up.join(up.select(F.col("rep").alias("part"), F.col("part").alias("above")), "part", "left").select("rep", F.coalesce("above", "part").alias("part"))
+    homes = checkpoint(homes.join(over, "rep", "left").select("rep", "n", F.col("leader").alias("family"), F.coalesce("part", "rep").alias("part")))
+
+    asked, members = _asked(posts, homes, num, den)
+    links = stars.unionByName(_opened(docs, k, asked, members, num, den))
     final = connected_components(links)
 
     # Back to the rows: a digest's node, and the node's component. Components are labelled by nodes, the least ids.
@@ -256,7 +252,52 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     return linked.unionByName(alone)
 
 
-def _shared(nodes: DataFrame) -> DataFrame:
-    """(token, rep, n) of the first tokens that two nodes or more hold."""
-    posts = nodes.select("rep", "n", F.explode("first").alias("token"))
-    return posts.withColumn("holders", F.expr("count(*) over (partition by token)")).where("holders > 1").select("token", "rep", "n")
+def _shared(sets: DataFrame) -> DataFrame:
+    """(rep, n, tokens) of the nodes with first tokens that another node holds too, and these tokens."""
+    lists = sets.select("rep", "n", F.explode("first").alias("token"))
+    often = lists.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1").select("token")
+    return lists.join(often, "token").groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("token").alias("tokens"))
+
+
+def _followed(posts: DataFrame, num: int, den: int) -> DataFrame:
+    """(rep, n, leader): of a token's holders the one leads whose first tokens are shared most; itself if none does."""
+    most = f"n - (n * {num} + {den - 1}) div {den} + {TO_SHARE}"
+    lists = posts.select("rep", "n", F.expr(f"size(tokens) / ({most})").alias("common"), F.explode("tokens").alias("token"))
+    first = lists.groupBy("token").agg(F.max(F.struct("common", (-F.col("n")).alias("n"), (-F.col("rep")).alias("rep"))).alias("x")).select("token", (-F.col("x.rep")).alias("leader"))
+    votes = lists.join(first, "token").groupBy("rep", "leader").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+    best = votes.groupBy("rep").agg(F.max("n").alias("n"), F.max(F.struct("shared", (-F.col("leader")).alias("leader"))).alias("x"))
+    return best.select("rep", "n", F.when(F.col("x.shared") >= F.expr(TO_SHARE), -F.col("x.leader")).otherwise(F.col("rep")).alias("leader"))
+
+
+def _asked(posts: DataFrame, homes: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Queries (g, q) and members (g, rep) of the groups that may hold links between different parts."""
+    cells = posts.select("rep", F.explode("tokens").alias("token")).join(homes, "rep")
+    mixed = cells.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
+    cells = checkpoint(cells.join(mixed, "token"))
+    inside = checkpoint(cells.select("rep", "n", "family", "part").distinct())
+    parts = inside.groupBy("family", "part").agg(F.count("*").alias("held"), F.sum("n").alias("total"))
+    families = checkpoint(parts.groupBy("family").agg(F.sum("held").alias("held"), F.sum("total").alias("total"), F.count("*").alias("parts"), F.max(F.struct("held", "part")).alias("top")).select("family", "held", "total", "parts", F.col("top.part").alias("top")))
+
+    # Token-group matrix of families: the smaller of two asks, the larger is asked.
+    matrix = cells.groupBy("token", "family").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    spread = matrix.groupBy("token").agg(F.count("*").alias("families")).where("families > 1").select("token")
+    matrix = checkpoint(matrix.join(spread, "token").join(families.select("family", "held", "parts", "top"), "family"))
+    a, b = matrix.alias("a"), matrix.alias("b")
+    order = "(a.held < b.held or a.held = b.held and a.family > b.family)"
+    sized = f"b.least * {num} <= a.most * {den} and a.least * {num} <= b.most * {den}"
+    apart = "not (a.parts = 1 and b.parts = 1 and a.top = b.top)"
+    hits = a.join(b, F.expr(f"a.token = b.token and {order} and {sized} and {apart}"))
+    hits = hits.select(F.col("a.token").alias("token"), F.col("a.family").alias("family"), F.col("a.least").alias("lower"), F.col("b.family").alias("asked"), F.col("b.least").alias("least"), F.col("b.most").alias("most"), F.when(F.col("b.parts") == 1, F.col("b.top")).alias("only"))
+    met = hits.groupBy("family", "asked").agg(F.count("*").alias("shared"), F.min(F.least("lower", "least")).alias("n"))
+    met = checkpoint(met.where(f"shared >= {TO_SHARE}").select("family", "asked"))
+
+    # Members of the asking family, each with the tokens that it shares with the asked one.
+    near = cells.join(hits.join(met, ["family", "asked"]).drop("lower"), ["family", "token"]).where(f"least * {num} <= n * {den} and n * {num} <= most * {den} and not (part <=> only)")
+    near = near.groupBy(F.col("rep").alias("q"), F.col("asked").alias("family")).agg(F.count("*").alias("shared"), F.min(F.least("n", "least")).alias("n"))
+    own = inside.join(families.where("parts > 1").select("family", "top"), "family").where("part != top").select(F.col("rep").alias("q"), "family")
+    wanted = checkpoint(near.where(f"shared >= {TO_SHARE}").select("q", "family").unionByName(own))
+
+    cut = families.join(wanted.select("family").distinct(), "family").select("family", F.expr(f"cast(total div {GROUP_TOKENS} + 1 as int)").alias("groups"))
+    asked = wanted.join(cut, "family").select(F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), "family", "q").select(F.xxhash64("family", "i").alias("g"), "q")
+    members = inside.join(cut, "family").select(F.xxhash64("family", F.expr("cast(pmod(xxhash64(rep), groups) as int)")).alias("g"), "rep")
+    return asked, members
