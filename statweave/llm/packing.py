@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sliced
+from .common import checkpoint, relieved, sliced
 
 SMALLEST_SHARE = 1024
 BUCKETS = 1024
@@ -156,8 +156,9 @@ def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 places.append(run.get(source, 0))
                 run[source] = places[-1] + sizes[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([part] * len(sizes), pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "source", "part", "place", "n", "ids"])
+        load.cache_clear()  # the tokenizer's tables are as large as all else in a worker
 
-    return docs.mapInArrow(encode, "doc_id long, source string, part long, place long, n long, ids binary")
+    return docs.mapInArrow(relieved(encode), "doc_id long, source string, part long, place long, n long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, weights: dict[str, float] | None = None) -> DataFrame:
@@ -210,4 +211,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     placed = rows.join(bases, ["source", "part"]).select("doc_id", "source", "queue", "path", (F.col("base") + F.col("place")).alias("place"), "n", "ids")
-    return placed.mapInArrow(cut, PIECES)
+    return placed.mapInArrow(relieved(cut), PIECES)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, sliced, span_hashes, text_chunks, word_spans
+from .common import lower_ascii, mix, relieved, sliced, span_hashes, text_chunks, word_spans
 
 BITS = 20
 #: Labelled rows learned from: of class 0 and of class 1.
@@ -151,4 +151,5 @@ def below(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
         for batch in sliced(batches):
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't go to Python
+    return plain.mapInArrow(relieved(run), plain.schema).toDF(*docs.columns)
