@@ -2,15 +2,21 @@
 
 Equal vectors of a label are one node from the start. On unit vectors a cosine of t is a distance of sqrt(2 - 2t), so
 distances obey the triangle inequality: two tree nodes whose centres are further apart than their covering radii and
-that distance together hold no pair. The top level of each label's tree is a net of centres from a bounded sample;
-every vector has its home cell, cells know their covering radii, and a vector visits only the cells before its home
-that may hold a partner (by the covering radius and by the plane between the two centres). A cell is dealt to blocks
-of bounded size; in a block, nested levels with halving radii are built and traversed in pairs, and the pairs left are
-compared by their cosine in double precision. A block reports counts of links and a spanning forest, never the pairs.
-
+that distance together hold no pair. The upper levels of a label's tree are built over the whole table, level by level:
+a cell with more than a block of vectors is divided among centres from a bounded sample of it, every vector has its
+home in the nearest one's cell, and cells know their covering radii. A vector goes on as a visitor into those cells
+before its home that may hold a partner, by the covering radius and by the plane between two centres; visitors go down
+with the levels, so of two cells that are apart neither's vectors are copied into the other. The number of cells grows
+with the vectors, and what a task holds doesn't. In the last cells nested levels with halving radii are built and
+traversed in pairs, and the pairs left are compared by their cosine in double precision. A cell that no longer divides
+is dealt to blocks, all of which are compared. A block reports counts of links and a spanning forest, never the pairs.
+
+Vectors are scaled by powers of two first, so very large and very small components neither overflow nor vanish.
 Vectors that are null, zero, or hold null or non-finite numbers, rows without a label or an id, and vectors of another
-length link with nothing; repeated rows are equal vectors; other columns are ignored; an empty table gives an empty
-result. How much is pruned depends on the data: in high dimensions without structure nearly every cell is visited.
+length link with nothing; repeated rows are equal vectors, and a repeated id with different vectors is one node that
+has the links of all; other columns are ignored; an empty table gives an empty result. How much is pruned depends on
+the data: in high dimensions without structure nearly every cell is visited, and a cluster of M vectors that are all
+linked takes M * M / 2 comparisons, as their links are counted.
 """
 
 from __future__ import annotations
@@ -25,9 +31,15 @@ from .common import checkpoint, connected_components
 
 #: Vectors in a cell's block, and so the most that a task's tree holds.
 BLOCK = 2048
-#: Vectors of a label that its centres are chosen from, and the most centres.
+#: Vectors of a cell that its centres are chosen from, and the most centres.
 SAMPLE = 1024
 CENTRES = 128
+#: Share of a cell's vectors in one of its parts from which on dividing it is given up.
+UNDIVIDED = 0.9
+#: Rows of a cell that one task divides.
+ROWS = 8192
+#: Radius below which distances are rounding errors.
+POINT = 1e-7
 #: Points below which a tree node isn't divided.
 LEAF = 24
 SLACK = 1e-9
@@ -50,7 +62,7 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, radius: float =
     centre = int(points[0])
     far = distances(x[points], x[centre : centre + 1])[:, 0]
     node = Node(centre, float(far.max()) if len(far) else 0.0, points, [])
-    if len(points) <= LEAF or node.radius == 0.0:
+    if len(points) <= LEAF or node.radius <= POINT:
         return node
     half = min(radius, node.radius) / 2
     owner, near = np.zeros(len(points), np.int64), far.copy()
@@ -65,7 +77,7 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, radius: float =
         d = distances(x[points], x[points[c] : points[c] + 1])[:, 0]
         closer = d < near
         owner[closer], near = len(centres), np.minimum(near, d)
-        owner[c] = len(centres)
+        owner[c], near[c] = len(centres), 0.0
         centres.append(c)
     for k, c in enumerate(centres):
         own = np.flatnonzero(owner == k)
@@ -174,9 +186,9 @@ def _block_links(cos: float):
                 w.clear()
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(8)]
-            for label, size, cell, block, kind, rep, many, blob in zip(*columns, strict=True):
-                at = (label, size, cell, block)
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for cell, block, kind, rep, many, blob in zip(*columns, strict=True):
+                at = (cell, block)
                 if at != group:
                     yield from members()
                     yield from visit()
@@ -197,78 +209,97 @@ def _block_links(cos: float):
     return stream
 
 
-def _centres(points: DataFrame) -> DataFrame:
-    """(label, size, centres) of the labels with more than a block of vectors: a farthest-first net of a sample."""
-    many = points.groupBy("label", "size").agg(F.count("*").alias("n")).where(f"n > {BLOCK}")
-
-    def net(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("rep")
-        x = _units(_matrix(frame["vector"].tolist()))
-        k = int(min(CENTRES, -(-int(frame["n"].iloc[0]) // (BLOCK // 2)), len(x)))
-        chosen, near = [0], distances(x, x[:1])[:, 0]
-        while len(chosen) < k:
-            chosen.append(int(near.argmax()))
-            near = np.minimum(near, distances(x, x[chosen[-1:]])[:, 0])
-        return pd.DataFrame({"label": frame["label"].iloc[:1].tolist(), "size": frame["size"].iloc[:1].tolist(), "centres": [x[chosen].tobytes()]})
-
-    picked = points.join(many, ["label", "size"]).where(F.crc32(F.col("rep").cast("string")) < F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("n")) * 4294967296.0)
-    return picked.groupBy("label", "size").applyInPandas(net, "label string, size int, centres binary")
-
-
-def _assigned(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Each vector with its home cell and its distance from that centre."""
+def _net(frame: pd.DataFrame) -> pd.DataFrame:
+    """A cell's centres: half of them farthest first, which keeps them apart, half as they come, which divides evenly."""
+    frame = frame.sort_values("rep")
+    x = _units(_matrix(frame["vector"].tolist()))
+    k = int(min(CENTRES, max(2, -(-int(frame["n"].iloc[0]) // (BLOCK // 2))), len(x)))
+    chosen, near = [0], distances(x, x[:1])[:, 0]
+    while len(chosen) < k:
+        left = np.flatnonzero(near > POINT)
+        if not len(left):
+            break
+        chosen.append(int(near.argmax()) if len(chosen) < (k + 1) // 2 else int(left[0]))
+        near = np.minimum(near, distances(x, x[chosen[-1:]])[:, 0])
+    return pd.DataFrame({"cell": frame["cell"].iloc[:1].tolist(), "centres": [x[chosen].tobytes()]})
 
-    def assign(batches):
-        for batch in batches:
-            home, far = [], []
-            known: dict[bytes, np.ndarray] = {}
-            for blob, c in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if c is None:
-                    home.append(0)
-                    far.append(0.0)
-                    continue
-                v = np.frombuffer(blob, np.float64)
-                if c not in known:
-                    known[c] = np.frombuffer(c, np.float64).reshape(-1, len(v))
-                d = distances(v[None, :] / np.linalg.norm(v), known[c])[0]
-                home.append(int(d.argmin()))
-                far.append(float(d.min()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(home, pa.int32()), pa.array(far, pa.float64())], ["label", "size", "rep", "copies", "vector", "cell", "far"])
-
-    rows = points.join(centres, ["label", "size"], "left").select("label", "size", "rep", "copies", "vector", "centres")
-    return rows.mapInArrow(assign, "label string, size int, rep long, copies long, vector binary, cell int, far double")
 
+def _by_cell(rows: DataFrame, heads: DataFrame, use, schema: str) -> DataFrame:
+    """``use(centres, radii, batch)`` of the rows of each cell, dealt in parts of about ROWS with the cell's head first."""
+    parts = heads.select("cell", F.expr(f"cast(n div {ROWS} + 1 as int)").alias("parts"))
+    body = rows.join(parts, "cell").select("cell", F.expr("cast(pmod(xxhash64(rep), parts) as int)").alias("part"), "kind", "rep", "copies", "vector", "child", F.lit(None).cast("array<double>").alias("radii"))
+    first = heads.join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("kind"), F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), F.col("centres").alias("vector"), F.lit(0).alias("child"), "radii")
 
-def _visits(rows: DataFrame, centres: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
-    """(label, size, cell, rep, copies, vector) for each cell before its home that a vector must visit."""
-    radii = cells.groupBy("label", "size").agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("radii"))  # CENTRES entries at most
-    frame = rows.where("cell > 0").join(centres, ["label", "size"]).join(radii, ["label", "size"]).select("label", "size", "rep", "copies", "vector", "cell", "centres", "radii")
-
-    def visit(batches):
+    def stream(batches):
+        head = None
         for batch in batches:
-            table = batch.to_pydict()
-            at, cell = [], []
-            known: dict[bytes, tuple] = {}
-            for i, (blob, home, c, radii) in enumerate(zip(table["vector"], table["cell"], table["centres"], table["radii"], strict=True)):
-                v = np.frombuffer(blob, np.float64)
-                if c not in known:
-                    x = np.frombuffer(c, np.float64).reshape(-1, len(v))
-                    r = dict(radii)
-                    known[c] = (x, np.array([r.get(j, -1.0) for j in range(len(x))]), distances(x, x))
-                x, r, between = known[c]
-                unit = v / np.linalg.norm(v)
-                dot = x @ unit
-                d = np.sqrt(np.maximum(2 - 2 * dot, 0))
-                # The plane between two centres: a partner on the other side is at least this far away.
-                plane = (dot[home] - dot[:home]) <= reach * between[home, :home] + SLACK
-                ok = np.flatnonzero((r[:home] >= 0) & (d[:home] <= r[:home] + reach + SLACK) & plane)
-                at += [i] * len(ok)
-                cell += ok.tolist()
-            take = pa.array(at, pa.int64())
-            picked = [batch.column(j).take(take) for j in range(5)]
-            yield pa.RecordBatch.from_arrays([*picked, pa.array(cell, pa.int32())], ["label", "size", "rep", "copies", "vector", "cell"])
-
-    return frame.mapInArrow(visit, "label string, size int, rep long, copies long, vector binary, cell int")
+            kind = batch.column(2).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(kind == -1)).tolist(), len(kind)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if lo < hi and kind[lo] == -1:
+                    size = int(batch.column(0)[lo].as_py().split(":")[0])
+                    head = (np.frombuffer(batch.column(5)[lo].as_py(), np.float64).reshape(-1, size), batch.column(7)[lo].as_py())
+                    lo += 1
+                if lo < hi:
+                    yield use(*head, batch.slice(lo, hi - lo))
+
+    dealt = first.unionByName(body).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind")
+    return dealt.mapInArrow(stream, schema)
+
+
+def _homes(centres: np.ndarray, radii, batch: pa.RecordBatch) -> pa.RecordBatch:
+    d = distances(_units(_matrix(batch.column(5).to_pylist())), centres)
+    child = d.argmin(axis=1)
+    return pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (2, 3, 4, 5)), pa.array(child, pa.int32()), pa.array(d[np.arange(len(d)), child])], ["cell", "kind", "rep", "copies", "vector", "child", "far"])
+
+
+def _parts(reach: float):
+    def divide(centres: np.ndarray, radii, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of the parts: homes in their own one and as visitors in those before it, visitors in all that may hold a partner."""
+        radii = np.array(radii)
+        dot = _units(_matrix(batch.column(5).to_pylist())) @ centres.T
+        d = np.sqrt(np.maximum(2 - 2 * dot, 0.0))
+        home = batch.column(2).to_numpy(zero_copy_only=False) == 0
+        child = batch.column(6).to_numpy(zero_copy_only=False)
+        nearest = dot.argmax(axis=1)
+        # The plane between two centres: a partner on the other side is at least this far away.
+        plane = dot.max(axis=1)[:, None] - dot <= reach * distances(centres, centres)[nearest] + SLACK
+        ok = (radii[None, :] >= 0) & (d <= radii[None, :] + reach + SLACK) & plane
+        ok &= ~home[:, None] | (np.arange(len(centres))[None, :] < child[:, None])
+        at, to = np.nonzero(ok)
+        own = np.flatnonzero(home)
+        at, to, kind = np.concatenate([own, at]), np.concatenate([child[own], to]), np.concatenate([np.zeros(len(own)), np.ones(len(at))])
+        picked = batch.take(pa.array(at))
+        cells = [f"{c}.{i}" for c, i in zip(picked.column(0).to_pylist(), to.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(kind, pa.int32()), picked.column(3), picked.column(4), picked.column(5)], ["cell", "kind", "rep", "copies", "vector"])
+
+    return divide
+
+
+def _divided(rows: DataFrame, reach: float) -> DataFrame:
+    """Rows (cell, kind, rep, copies, vector) of the last cells of all labels' trees; kind 0 is at home, 1 visits."""
+    done = []
+    while True:
+        big = checkpoint(rows.where("kind = 0").groupBy("cell").agg(F.count("*").alias("n")).where(f"n > {BLOCK}"))
+        if big.isEmpty():
+            break
+        inner = rows.join(big, "cell")
+        sample = inner.where("kind = 0").where(F.crc32(F.concat_ws(":", "rep", "cell")) < F.least(F.lit(1.0), F.lit(SAMPLE) / F.col("n")) * 4294967296.0)
+        heads = sample.groupBy("cell").applyInPandas(_net, "cell string, centres binary").join(big, "cell")
+        heads = checkpoint(heads.withColumn("radii", F.lit(None).cast("array<double>")))
+        bare = "cell string, kind int, rep long, copies long, vector binary, child int, far double"
+        placed = checkpoint(_by_cell(rows.where("kind = 0").withColumn("child", F.lit(0)), heads, _homes, bare))
+        radii = placed.groupBy("cell", "child").agg(F.max("far").alias("radius"), F.count("*").alias("held"))
+        table = radii.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("child", "radius"))).alias("known"), F.max("held").alias("most"))  # CENTRES entries at most
+        every = F.transform(F.sequence(F.lit(0), F.lit(CENTRES - 1)), lambda i: F.coalesce(F.col("known")[i], F.lit(-1.0)))
+        width = F.expr("cast(length(centres) div (8 * cast(substring_index(cell, ':', 1) as int)) as int)")
+        heads = checkpoint(heads.drop("radii").join(table, "cell").where(F.col("most") <= UNDIVIDED * F.col("n")).select("cell", "centres", "n", F.slice(every, F.lit(1), width).alias("radii")))
+        done.append(rows.join(heads.select("cell"), "cell", "left_anti"))
+        visitors = rows.where("kind = 1").withColumn("child", F.lit(-1)).withColumn("far", F.lit(0.0))
+        rows = checkpoint(_by_cell(placed.unionByName(visitors.select(*placed.columns)), heads, _parts(reach), "cell string, kind int, rep long, copies long, vector binary"))
+    for other in done:
+        rows = rows.unionByName(other)
+    return rows
 
 
 def near_duplicates(table: DataFrame, cos: float = 0.98) -> DataFrame:
@@ -281,21 +312,21 @@ def near_duplicates(table: DataFrame, cos: float = 0.98) -> DataFrame:
 
     def pack(batches):
         for batch in batches:
-            vectors = [np.asarray(v, np.float64).tobytes() for v in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) // 8 for b in vectors], pa.int32()), batch.column(1), batch.column(2), pa.array(vectors, pa.binary())], ["label", "size", "rep", "copies", "vector"])
+            cells, vectors = [], []
+            for label, values in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                v = np.asarray(values, np.float64)
+                vectors.append(np.ldexp(v, -int(np.frexp(np.abs(v).max())[1])).tobytes())
+                cells.append(f"{len(v)}:{label}:")
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array([0] * len(cells), pa.int32()), batch.column(1), batch.column(2), pa.array(vectors, pa.binary())], ["cell", "kind", "rep", "copies", "vector"])
 
     nodes = checkpoint(nodes.select("label", "rep", "copies", "embedding"))
-    points = nodes.mapInArrow(pack, "label string, size int, rep long, copies long, vector binary")
-    centres = checkpoint(_centres(points))
-    placed = checkpoint(_assigned(points, centres))
-    cells = placed.groupBy("label", "size", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n"))
-    blocks = cells.select("label", "size", "cell", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"))
-    inside = placed.join(blocks, ["label", "size", "cell"]).withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    inside = inside.select("label", "size", "cell", "rep", "copies", "vector", F.col("own"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("block"))
-    inside = inside.select("label", "size", "cell", "block", F.when(F.col("block") == F.col("own"), 0).otherwise(1).alias("kind"), "rep", "copies", "vector")
-    outside = _visits(placed, centres, cells, reach).join(blocks, ["label", "size", "cell"])
-    outside = outside.select("label", "size", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "rep", "copies", "vector")
-    dealt = inside.unionByName(outside).repartition("label", "size", "cell", "block").sortWithinPartitions("label", "size", "cell", "block", "kind")
+    placed = _divided(checkpoint(nodes.mapInArrow(pack, "cell string, kind int, rep long, copies long, vector binary")), reach)
+    blocks = placed.where("kind = 0").groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.expr(f"cast((n - 1) div {BLOCK} + 1 as int)").alias("blocks"))
+    inside = placed.join(blocks, "cell").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    block = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("own"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    inside = inside.select("cell", F.explode(block).alias("block"), "kind", "own", "rep", "copies", "vector")
+    inside = inside.select("cell", "block", F.when((F.col("kind") == 0) & (F.col("block") == F.col("own")), 0).otherwise(1).alias("kind"), "rep", "copies", "vector")
+    dealt = inside.repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
     found = checkpoint(dealt.mapInArrow(_block_links(cos), "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
