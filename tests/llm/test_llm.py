@@ -1,8 +1,8 @@
 """The training-data operators against plain versions, on small fixtures with nulls, ties, copies and odd names."""
 
-import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from statweave.llm import common, embedding_dedup, language_id, mixing, ngram_join, packing, quality_model, quality_rules, secret_scan, token_counts, toxicity, word_bpe
 from statweave.llm.queries import ORACLES, QUERIES
@@ -84,6 +85,31 @@ def test_jaccard_join_equals_all_pairs(spark, monkeypatch, k, num, den):
     assert got == brute_components(rows, k, num, den)
 
 
+def test_jaccard_join_of_a_large_group_grows_with_its_members(spark, monkeypatch):
+    """One group of near copies around a text that is there too, cut to many groups of tokens: exact, and few rows asked."""
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 2000)
+    random.seed(2)
+    base = [f"b{i}" for i in range(90)]
+    asked = {}
+    for size in (60, 240):
+        rows = [(0, " ".join(base))]
+        for i in range(1, size):
+            text = list(base)
+            for _ in range(random.choice([1, 1, 1, 2])):  # one change is similar enough, two aren't
+                text[random.randrange(len(text))] = f"v{random.randrange(10**6)}"
+            rows.append((i, " ".join(text)))
+        seen = []
+        monkeypatch.setattr(ngram_join, "_asked", lambda *a, f=ngram_join._asked, out=seen: out.append(f(*a)) or out[-1])
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(df, 5, 4, 5).collect()}
+        monkeypatch.undo()
+        monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 2000)
+        assert got == brute_components(rows, 5, 4, 5)
+        asked[size] = seen[0][0].select("q").distinct().count()
+    linked = [c for c in got.values() if c[1] == 0]
+    assert len(linked) > 100 and asked[240] <= 240 - len(linked) + 5
+
+
 def test_jaccard_join_edges(odd, empty):
     got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(odd, 3, 9, 10).collect()), key=repr)
     assert len(got) == 9 and (1, 0, 1) in got and (3, 0, 3) in got and (7, 5, 4) in got and got.count((4, 5, 4)) == 2
@@ -235,6 +261,47 @@ def test_secret_spans(spark, odd, empty):
     assert secret_scan.masked_documents(odd).columns == odd.columns and secret_scan.scan(empty).count() == 0
 
 
+def plain_spans(text):
+    """Spans by the definition: all pairs of spans are looked at."""
+    out = []
+    for rank, kind in enumerate(secret_scan.KINDS):
+        for m in re.finditer(kind.pattern, text):
+            if len(m.group(kind.value)) >= kind.least:
+                out.append((m.start(), rank, m.end(), kind))
+    strong = [s for s in out if s[1] < len(secret_scan.STRONG)]
+    weak = [s for s in out if s not in strong and not any(t[0] < s[2] and s[0] < t[2] for t in strong)]
+
+    def roles(s, spans):
+        return {t[3].role for t in spans if s[0] <= t[2] + secret_scan.SCOPE and t[0] <= s[2] + secret_scan.SCOPE} - {s[3].role}
+
+    kept = strong + [s for s in weak if roles(s, strong) or len(roles(s, weak)) == 2]
+    return [(s[3].name, s[0], s[2]) for s in sorted(kept, key=lambda s: s[:3])]
+
+
+def test_secret_spans_equal_all_pairs(spark):
+    random.seed(3)
+    bits = ["user=bob12", "https://a.b.example.com:80", "token=abcdefg12", "AKIA" + "A1" * 9, "a1b2c3d4e5f6a7b8c9d0e1f2", "Q" * 40, "é😀", "x " * 60, "login: me_1", "aws/" + "Z9" * 20, "password=" + "a1" * 14, "\n"]
+    texts = [random.choice(["", " "]).join(random.choice(bits) for _ in range(random.randint(0, 40))) for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.scan(df).collect():
+        assert [(s["kind"], s["start"], s["end"]) for s in r["spans"]] == plain_spans(texts[r["doc_id"]] or "")
+    for r in secret_scan.masked_documents(df).collect():
+        want, at = "", 0
+        for _, start, end in plain_spans(texts[r["doc_id"]] or ""):
+            want, at = (want + texts[r["doc_id"]][at:start] + "[secret]" if start >= at else want), max(at, end)
+        assert r["text"] == (texts[r["doc_id"]] and want + texts[r["doc_id"]][at:])
+
+
+def test_secrets_of_a_text_with_very_many_matches(spark):
+    text = " ".join(f"user=bob{i} https://e{i}.example.com/ token=abcdefg{i} é" for i in range(10000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.monotonic()
+    assert len(secret_scan.scan(df).first()["spans"]) == 30000
+    want = re.sub(r"user=bob\d+|https://e\d+\.example\.com|token=abcdefg\d+", "[secret]", text)
+    assert secret_scan.masked_documents(df).first()["text"] == want
+    assert time.monotonic() - begun < 60
+
+
 def test_quality_rules_equal_a_plain_version(odd, docs, empty):
     for df in (odd, docs.limit(60)):
         texts = Counter()
@@ -272,8 +339,6 @@ def test_classifiers_on_held_out_rows(spark):
 
 
 def test_classifiers_take_odd_rows(spark, odd, empty):
-    from pyspark.sql import functions as F
-
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int")
     every = F.col("doc_id").isNotNull()
     for module in (toxicity, quality_model):
@@ -309,7 +374,7 @@ def brute_links(rows, cos):
     sound = {}
     for i, v, label in rows:
         ok = i is not None and label is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)
-        sound[i] = (np.array(v, float), label) if ok else None
+        sound[i] = (np.array(v, float) / max(map(abs, v)), label) if ok else None
     links, parent = Counter(), {i: i for i, _, _ in rows}
 
     def find(i):
@@ -345,6 +410,24 @@ def test_embedding_links_equal_all_pairs(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_of_extreme_components(spark):
+    rows = [(1, [1e-200] * 4, 0), (2, [2e-200] * 4, 0), (3, [1e200, 1e200, 1e200, 1.01e200], 0), (4, [5e-324, 0.0, 0.0, 0.0], 0), (5, [1e308, 0.0, 0.0, 1e100], 0), (6, [1.0, 1.0, 1.0, -1.0], 0), (7, [float("inf")] * 4, 0), (8, [1e-200] * 4, 1)]
+    rows += [(100 + i, [1e-200 * (1 + i % 3), 1e-200, 1e-200 * (1 + i % 2), 0.0], 0) for i in range(40)]
+    rows += [(8, [1e-200, 1e-200, 1e-200, 1e-200], 1), (9, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("copies", F.lit("clash")).withColumn("cell", F.lit(None).cast("int"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
+    want = brute_links([r for r in rows if r[0] < 8 or r[0] > 9], 0.98)
+    assert {i: x for i, x in got.items() if i not in (8, 9)} == want and got[8] == (1, 8) and got[9] == (0, 9)
+
+
+def test_embedding_links_of_a_label_that_does_not_divide(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, float(x), float(y)], "a") for i, (x, y) in enumerate(rng.normal(size=(150, 2)) * 1e-6)] + [(200 + i, [float(x) for x in rng.normal(size=3)], "a") for i in range(60)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == brute_links(rows, 0.98)
+
+
 def test_pipeline_stages(spark, tmp_path, docs, small):
     import corpus_pipeline as cp
 
@@ -372,5 +455,19 @@ def test_pipeline_stages(spark, tmp_path, docs, small):
         current = after
 
 
-def test_base_digest():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+def test_pipeline_stages_take_odd_rows(spark, small, empty):
+    import corpus_pipeline as cp
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "a", 48, "x"), (1, text, "en", "a", 48, "x"), (1, "another text of its own under a repeated id", None, None, None, None), (None, text, None, "", 0, "y"), (None, "no id and a text of its own that nobody has", "en", "b", 1, None), (2, None, None, None, None, None), (3, "", "en", "a", 0, "z"), (4, " \n ", "en", "a", 3, "z")]
+    odd = spark.createDataFrame(rows, SCHEMA + ", `row.text` string").repartition(3)
+    assert cp.drop_toxic(spark, odd, small).columns == odd.columns and cp.drop_toxic(spark, odd, small).count() == 8
+    kept = cp.drop_near_copies(spark, odd, small)
+    texts = Counter(r["text"] for r in kept.collect())
+    assert kept.columns == odd.columns and texts == Counter({text: 1, rows[2][1]: 1, rows[4][1]: 1, None: 1, "": 1, " \n ": 1})
+    assert sorted(map(repr, cp.mask_secrets(spark, odd, small).collect())) == sorted(map(repr, odd.collect()))
+    mixed = cp.mix_sources(spark, odd, small)
+    assert mixed.columns == odd.columns and all(WORD.search(r["text"]) for r in mixed.collect())
+    assert sum(r["offset"] == 0 for r in cp.pack_windows(spark, odd, small).collect()) > 0
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, small).count() == 0
