@@ -122,6 +122,18 @@ def structure_dimensions(spark, sf_dir):
     return payloads.dimension_tables(_structures(spark, sf_dir))[1].withColumn("position", F.col("position").cast("long"))
 
 
+@query("SELECT DISTINCT 'D' || n_regionkey AS dimension, n_name AS code FROM nation UNION ALL SELECT 'ALL', r_name FROM region")
+def availability_codes(spark, sf_dir):
+    """Constraints that name each code, some of them twice."""
+    n = _nations(spark, sf_dir)
+
+    def key(name: Column, c: str) -> Column:
+        return F.concat(lit("<s:KeyValue id='"), name, lit("'><c:Value>"), F.array_join(F.collect_list(c), "</c:Value><c:Value> "), lit("</c:Value></s:KeyValue>"))
+
+    cube = F.concat(lit("<s:CubeRegion>"), key(F.concat(lit("D"), F.first("r_regionkey").cast("string")), "n_name"), key(lit("ALL"), "r_name"), lit("</s:CubeRegion>"))
+    return payloads.constraint_codes(n.groupBy("n_regionkey").agg(cube.alias("body")))
+
+
 @query("SELECT '2101.' || p_partkey AS id, p_name AS title, p_type AS abstract, '2021-03-04' AS date, p_brand || ';' || p_type AS authors, '10.48550/arxiv.2101.' || p_partkey AS doi FROM part")
 def atom_entries(spark, sf_dir):
     p = table(spark, sf_dir, "part")
@@ -269,7 +281,7 @@ def claim_text_folders(spark, sf_dir):
     return joins.claim_folders(claims, first, "default").select("c_custkey", "folder")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'id' || p_partkey WHEN p_partkey > 1 THEN 'id' || (p_partkey - 1) END AS record_id FROM part")
+@query("SELECT p.p_partkey, CASE WHEN p.p_partkey % 2 = 0 THEN 'id' || p.p_partkey ELSE 'id' || q.p_partkey END AS record_id FROM part p LEFT JOIN part q ON q.p_partkey = p.p_partkey - 1")
 def logged_source_records(spark, sf_dir):
     """Records of even parts, logged twice; odd parts are found by the address of the part before, in another spelling."""
     p = table(spark, sf_dir, "part")

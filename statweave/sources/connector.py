@@ -110,9 +110,9 @@ def pages(fetch, base: str, path: str, params: dict, paging: str, size: int, mos
     step: dict[str, Any] = {}
     while url and n <= most:
         if paging == "page":
-            step = {"page": n, "per_page": size}
+            step = {at.get("page", "page"): n, at.get("size", "per_page"): size}
         elif paging == "offset":
-            step = {"offset": (n - 1) * size, "limit": size}
+            step = {at.get("page", "offset"): (n - 1) * size, at.get("size", "limit"): size}
         request = build_url(base, path, params | step) if paging in ("page", "offset", "rows", "pages") else url
         body = fetch(request)
         if body is None:
@@ -128,7 +128,8 @@ def pages(fetch, base: str, path: str, params: dict, paging: str, size: int, mos
         if paging == "next":
             url = head.get("@odata.nextLink") or head.get("next")
         elif paging == "page":
-            url = request if n < int(head.get("pages") or head.get("totalPages") or head.get("maxPages") or 1) else None
+            last = -(-int(_at(head, at["total"]) or 0) // size) if at.get("total") else int(head.get("pages") or head.get("totalPages") or head.get("maxPages") or 1)
+            url = request if n < last else None
         elif paging == "offset":
             total = _at(head, at["total"]) if at.get("total") else head.get("total") or head.get("num_found")
             url = request if n * size < int(total or 0) else None

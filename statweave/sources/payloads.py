@@ -138,9 +138,15 @@ def without_prefixes(xml: Column) -> Column:
 
 def xml_attributes(tag: Column) -> Column:
     """Attributes of a tag's text as a map."""
-    pairs = F.transform(F.regexp_extract_all(tag, F.lit(r"""(?:^|\s)([A-Za-z_][\w.-]*)="[^"]*\""""), F.lit(1)), lambda k: k)
-    values = F.regexp_extract_all(tag, F.lit(r"""(?:^|\s)[A-Za-z_][\w.-]*="([^"]*)\""""), F.lit(1))
-    return F.map_from_arrays(pairs, values)
+    pattern = F.lit(r"""(?:^|\s)([A-Za-z_][\w.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+    names, double, single = (F.regexp_extract_all(tag, pattern, F.lit(i)) for i in (1, 2, 3))
+
+    def plain(x: Column) -> Column:
+        for entity, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(character))
+        return x
+
+    return F.map_from_arrays(names, F.zip_with(double, single, lambda a, b: plain(F.concat(a, b))))
 
 
 def atom_items(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -167,6 +173,15 @@ def dimension_tables(payloads: DataFrame, body: str = "body") -> tuple[DataFrame
     return codes, dims.orderBy("position")
 
 
+def constraint_codes(payloads: DataFrame, body: str = "body") -> DataFrame:
+    """(dimension, code) of the key values that a structure message's constraints allow, each once."""
+    text = without_prefixes(F.col(body))
+    keys = payloads.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?s)<KeyValue\b.*?</KeyValue>"), F.lit(0))).alias("k"))
+    own = xml_attributes(F.regexp_extract("k", r"^<KeyValue\b([^>]*)>", 1))
+    values = keys.select(F.element_at(own, F.lit("id")).alias("dimension"), F.explode(F.regexp_extract_all("k", F.lit(r"<Value\b[^>]*>([^<]*)</Value>"), F.lit(1))).alias("code"))
+    return values.select("dimension", F.trim("code").alias("code")).distinct()
+
+
 def category_leaves(nodes: DataFrame, depth: int = 32) -> DataFrame:
     """Leaf datasets of an adjacency table (id, parent, name, dataset) with their paths, each dataset once.
 

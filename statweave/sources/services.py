@@ -37,17 +37,18 @@ SERVICES = {
     "projects": Service("https://search.worldbank.org/api/v2", "rows", 50, OS_ROWS | {"rows": "projects"}),
     "series": Service("https://api.db.nomics.world/v22", "offset", 1000, {"total": "series.num_found"}),
     "cubes": Service("https://ec.europa.eu/eurostat/api/dissemination"),
-    "goals": Service("https://unstats.un.org/SDGAPI/v1/sdg", "page", 1000),
+    "goals": Service("https://unstats.un.org/SDGAPI/v1/sdg", "page", 1000, {"size": "pageSize"}),
     "charts": Service("https://ourworldindata.org/grapher"),
     "education": Service("https://api.uis.unesco.org/api/public"),
     "health": Service("https://ghoapi.azureedge.net/api", "next"),
-    "displacement": Service("https://api.unhcr.org/population/v1", "page", 1000),
+    "displacement": Service("https://api.unhcr.org/population/v1", "page", 1000, {"size": "limit"}),
     "trade": Service("https://comtradeapi.un.org/public/v1/preview"),
-    "openalex": Service("https://api.openalex.org", "page", 100),
-    "crossref": Service("https://api.crossref.org", "offset", 100),
+    "openalex": Service("https://api.openalex.org", "page", 100, {"size": "per-page", "total": "meta.count"}),
+    "crossref": Service("https://api.crossref.org", "offset", 100, {"size": "rows", "total": "message.total-results"}),
     "semantic": Service("https://api.semanticscholar.org/graph/v1", "offset", 100),
     "arxiv": Service("https://export.arxiv.org/api"),
-    "core": Service("https://api.core.ac.uk/v3", "offset", 100),
+    "core": Service("https://api.core.ac.uk/v3", "offset", 100, {"total": "totalHits"}),
+    "nber": Service("https://www.nber.org/api/v1/working_page_listing/contentType/working_paper/_/_", "page", 100, {"size": "perPage", "total": "totalResults"}),
     "unpaywall": Service("https://api.unpaywall.org/v2"),
 }
 #: Addresses of SDMX providers.
@@ -285,9 +286,10 @@ def semantic(spark, query: str, order: int = 2, **io) -> DataFrame:
     return _item(x, "semantic", order, doi=norm_doi(F.element_at("externalIds", F.lit("DOI"))), title=clean_text(F.col("title")), year=F.col("year"), authors=F.transform("authors", lambda a: a["name"]), abstract=F.col("abstract"), cited_by=F.col("citationCount"), is_oa=F.col("openAccessPdf.url").isNotNull(), item_id=F.concat(F.lit("s2:"), "paperId"))
 
 
-def arxiv(spark, query: str, categories: list[str] | None = None, order: int = 3, **io) -> DataFrame:
+def arxiv(spark, query: str, categories: list[str] | None = None, order: int = 3, start: int = 0, limit: int = 100, **io) -> DataFrame:
+    """Entries of the feed from ``start`` on, ``limit`` at most; all words of the query, any of the categories."""
     asked = " AND ".join([f"all:{w}" for w in query.split()] + (["(" + " OR ".join(f"cat:{c}" for c in categories) + ")"] if categories else []))
-    x = payloads.atom_items(scan(spark, "arxiv", "query", {"search_query": asked, "max_results": 100}, **io))
+    x = payloads.atom_items(scan(spark, "arxiv", "query", {"search_query": asked, "start": start or None, "max_results": limit}, **io))
     if categories:
         x = x.where(F.arrays_overlap("categories", F.array(*[F.lit(c) for c in categories])))
     x = ranking.rank(x, F.col("date").desc(), F.col("id"))
@@ -305,6 +307,22 @@ def core(spark, query: str, limit: int, order: int = 4, **io) -> DataFrame:
     return items.orderBy("rank").limit(limit)
 
 
+def nber(spark, query: str, order: int = 5, **io) -> DataFrame:
+    """Working papers of the listing: the number gives the DOI and the file's address; dates are ``January 2011``."""
+    x = _numbered(scan(spark, "nber", "search", {"q": query}, **io), "$.results", "struct<title:string,authors:array<string>,displaydate:string,abstract:string,url:string>")
+    number = F.element_at(F.split(F.rtrim(F.col("url"), F.lit("/")), "/"), -1)
+    doi = F.when(number.rlike(r"^w\d+$"), F.concat(F.lit("10.3386/"), number))
+    pdf = F.when(doi.isNotNull(), F.concat(F.lit("https://www.nber.org/system/files/working_papers/"), number, F.lit("/"), number, F.lit(".pdf")))
+    items = _item(x, "nber", order, doi=doi, title=clean_text(F.col("title")), year=periods.year_in_text(F.col("displaydate")), authors=F.transform("authors", clean_text), abstract=F.nullif(clean_text(F.col("abstract")), F.lit("")), cited_by=F.lit(None).cast("bigint"), is_oa=F.lit(True), item_id=F.concat(F.lit("nber:"), number), date=F.coalesce(periods.iso_month(F.trim("displaydate")), periods.year_in_text(F.col("displaydate")).cast("string")), pdf_url=pdf)
+    return items
+
+
+def availability(spark, provider: str, flow: str, key: str = "all", **io) -> DataFrame:
+    """(dimension, code) of the codes under which a flow has data for a key."""
+    body = scan(spark, Service(SDMX[provider]), f"availableconstraint/{flow}/{key}/all/all", {}, **io)
+    return payloads.constraint_codes(body)
+
+
 def literature(spark, query: str, sources: list[DataFrame], limit: int = 25, years: tuple[int | None, int | None] = (None, None), oa: bool = False) -> DataFrame:
     """The federated search: items of the sources merged, scored and ranked."""
     kept = [s.where(masks.in_years(F.col("year"), *years)) for s in sources]

@@ -9,7 +9,7 @@ from statweave.sources import connector, services
 
 def record(folder, service, path, params, body, page=1):
     s = services.SERVICES.get(service) or services.Service(services.SDMX[service])
-    at = {"page": {"page": page, "per_page": s.size}, "offset": {"offset": (page - 1) * s.size, "limit": s.size}}.get(s.paging, {})
+    at = {"page": {"page": page, s.at.get("size", "per_page"): s.size}, "offset": {"offset": (page - 1) * s.size, s.at.get("size", "limit"): s.size}}.get(s.paging, {})
     url = connector.build_url(s.base, path, params | at)
     (folder / f"{zlib.crc32(url.encode()):08x}.json").write_text(body if isinstance(body, str) else json.dumps(body))
 
@@ -113,3 +113,51 @@ def test_paging_goes_on_to_the_last_page(spark, tmp_path, io):
     for page, code in ((1, "S"), (2, "T")):
         record(tmp_path, "series", "series", {"series_ids": "P/D/S", "observations": 1, "metadata": 0}, values(code), page=page)
     assert sorted(r["series_id"] for r in services.series(spark, ["P/D/S"], **io).collect()) == ["P/D/S", "P/D/T"]
+
+
+def test_literature_services_page_to_their_totals(spark, tmp_path, io):
+    for page in (1, 2):
+        record(tmp_path, "openalex", "works", {"search": "t"}, {"meta": {"count": 101}, "results": [{"id": f"W{page}", "title": f"Work number {page}"}]}, page=page)
+        record(tmp_path, "crossref", "works", {"query": "t"}, {"message": {"total-results": 101, "items": [{"DOI": f"10.1/{page}", "title": ["A title"]}]}}, page=page)
+        record(tmp_path, "nber", "search", {"q": "t"}, {"totalResults": 101, "results": [{"title": f"<b>Paper</b> {page}", "authors": ["<a href='x'>A B</a>"], "displaydate": "January 2011", "abstract": "", "url": f"/papers/w{page}"}]}, page=page)
+    assert services.openalex(spark, "t", **io).count() == services.crossref(spark, "t", **io).count() == 2
+    papers = {r["item_id"]: r for r in services.nber(spark, "t", **io).collect()}
+    assert set(papers) == {"nber:w1", "nber:w2"}
+    r = papers["nber:w2"]
+    assert (r["doi"], r["title"], r["authors"], r["year"], r["date"], r["abstract"], r["pdf_url"]) == ("10.3386/w2", "Paper 2", ["A B"], 2011, "2011-01", None, "https://www.nber.org/system/files/working_papers/w2/w2.pdf")
+
+
+def test_availability(spark, tmp_path, io):
+    record(tmp_path, "imf", "availableconstraint/WEO/all/all/all", {}, "<S><s:KeyValue id='A'><c:Value>x</c:Value><c:Value>y</c:Value></s:KeyValue></S>")
+    assert sorted(tuple(r) for r in services.availability(spark, "imf", "WEO", **io).collect()) == [("A", "x"), ("A", "y")]
+
+
+def test_downloads(spark, tmp_path):
+    from statweave.sources import downloads
+
+    class Reply:
+        def __init__(self, body, announced=None):
+            self.body, self.at = body, 0
+            self.headers = {"Content-Length": str(announced or len(body)), "Content-Type": "application/pdf"}
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *a):
+            return False
+
+        def read(self, n):
+            self.at += n
+            return self.body[self.at - n : self.at]
+
+    def reply(url, timeout):
+        if "missing" in url:
+            raise OSError("404")
+        return Reply(b"<html>" if "page" in url else b"%PDF-1.4 " + b"x" * (1000 if "large" in url else 10))
+
+    rows = spark.createDataFrame([("a", "http://x/a"), ("b", "http://x/page"), ("c", "http://x/large"), ("d", "http://x/missing"), (None, "x"), ("e", None)], "id string, url string")
+    got = {r["id"]: r for r in downloads.download_pdfs(rows, str(tmp_path), most=100, opener=reply).collect()}
+    assert {i: r["status"] for i, r in got.items()} == {"a": "ok", "b": "not a PDF", "c": "too large", "d": "failed: 404"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.pdf", "a.pdf.json"]
+    side = json.loads((tmp_path / "a.pdf.json").read_text())
+    assert (side["url"], side["bytes"], side["sha256"]) == ("http://x/a", 19, got["a"]["sha256"])
