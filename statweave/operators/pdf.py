@@ -286,9 +286,7 @@ class Font:
         self.map: dict[int, str] = {}
         self.widths: dict[int, float] = {}
         self.default = 0.5
-        stream = doc.deep(spec.get("ToUnicode"))
-        if isinstance(stream, tuple):
-            self.read_map(doc.bytes_of(stream))
+        self.spaces: list[tuple[int, int, int]] = []
         if self.wide:
             below = doc.deep((doc.deep(spec.get("DescendantFonts")) or [None])[0]) or {}
             self.default = (doc.deep(below.get("DW")) or 1000) / 1000
@@ -300,11 +298,17 @@ class Font:
                 if isinstance(w, (int, float)):
                     self.widths[first + i] = w / 1000
             self.read_encoding(doc, doc.deep(spec.get("Encoding")))
+        stream = doc.deep(spec.get("ToUnicode"))  # says what characters mean, whatever the glyphs are called
+        if isinstance(stream, tuple):
+            self.read_map(doc.bytes_of(stream))
 
     def read_map(self, data: bytes) -> None:
         def text(b: bytes) -> str:
             return b.decode("utf-16-be", "replace")
 
+        for section in re.findall(rb"begincodespacerange(.*?)endcodespacerange", data, re.S):
+            for lo, hi in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", section):
+                self.spaces.append((len(lo) // 2, int(lo, 16), int(hi, 16)))
         for section in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
             codes = re.findall(rb"<([0-9A-Fa-f\s]*)>", section)
             for a, b in zip(codes[::2], codes[1::2], strict=False):
@@ -349,7 +353,15 @@ class Font:
                     at += 1
 
     def codes(self, s: bytes) -> list[int]:
-        return [int.from_bytes(s[i : i + 2], "big") for i in range(0, len(s), 2)] if self.wide else list(s)
+        if not self.wide:
+            return list(s)
+        out, i = [], 0
+        while i < len(s):
+            fits = [n for n, lo, hi in self.spaces if lo <= int.from_bytes(s[i : i + n], "big") <= hi]
+            n = min(fits, default=2)
+            out.append(int.from_bytes(s[i : i + n], "big"))
+            i += n
+        return out
 
 
 def glyph(name: str) -> str:

@@ -193,7 +193,7 @@ def repository_records(spark, sf_dir):
     return out.select("uuid", "title", "type", F.array_join("authors", ";").alias("authors"), F.size("pdfs").alias("pdfs"))
 
 
-@query("SELECT p_partkey AS id, p_brand || CASE WHEN p_size % 2 = 0 THEN ' (' || p_size || '%)' ELSE '' END AS sectors, p_type AS themes, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS BIGINT) ELSE CAST(p_partkey AS BIGINT) END AS amount FROM part")
+@query("SELECT p_partkey AS id, p_brand || CASE WHEN p_size % 2 = 0 THEN ' (' || p_size || '%)' ELSE '' END AS sectors, p_type AS themes, CASE WHEN p_size % 3 <> 0 THEN CAST(p_size AS BIGINT) ELSE nullif(CAST(p_partkey AS BIGINT), 0) END AS amount FROM part")
 def project_records(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     sector = F.struct(F.col("p_brand").alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_size")).alias("percent"))

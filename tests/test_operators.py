@@ -263,3 +263,21 @@ def test_hits_are_spread_over_pages_before_the_cap(spark):
     exact = citations.exact_hits(pages, quotes).withColumn("tier", F.lit("exact"))
     claims = spark.createDataFrame([("q", "d", 2)], "quote_id string, doc_id string, cited_page int")
     assert citations.verdicts(claims, exact, pages).first()["verdict"] == "FOUND"
+
+
+def test_a_font_reads_as_its_unicode_map_says():
+    from statweave.operators import pdf
+
+    class Document:
+        def deep(self, x):
+            return x
+
+        def bytes_of(self, stream):
+            return stream[1]
+
+    cmap = b"1 begincodespacerange <00> <7F> endcodespacerange 1 begincodespacerange <8000> <FFFF> endcodespacerange 2 beginbfchar <41> <0058> <8001> <0059> endbfchar"
+    font = pdf.Font(Document(), {"Subtype": "Type1", "ToUnicode": ({}, cmap), "Encoding": {"Differences": [65, "g12", "B"]}})
+    assert (font.map[65], font.map[66]) == ("X", "B")
+    wide = pdf.Font(Document(), {"Subtype": "Type0", "ToUnicode": ({}, cmap), "DescendantFonts": [{}]})
+    assert [wide.map[c] for c in wide.codes(b"A\x80\x01A")] == ["X", "Y", "X"]
+    assert pdf.Font(Document(), {"Subtype": "Type0", "DescendantFonts": [{}]}).codes(b"\x00A\x00B") == [65, 66]
