@@ -421,7 +421,8 @@ def test_embedding_links_of_extreme_components(spark):
 
 
 def test_embedding_links_of_a_label_that_does_not_divide(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 60)
+    monkeypatch.setattr(embedding_dedup, "UNDIVIDED", 0.05)  # every division is given up: blocks are compared
     rng = np.random.default_rng(4)
     rows = [(i, [1.0, float(x), float(y)], "a") for i, (x, y) in enumerate(rng.normal(size=(150, 2)) * 1e-6)] + [(200 + i, [float(x) for x in rng.normal(size=3)], "a") for i in range(60)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
