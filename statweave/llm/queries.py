@@ -39,16 +39,15 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import checkpoint
     from .mixing import mix, sized
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = checkpoint(sized(docs).selectExpr("named_struct() as row", "doc_id", "source", "size"))
+    rows = sized(docs).selectExpr("named_struct() as row", "doc_id", "source", "size", "tag")
     return mix(rows).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLES["op3_source_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix:' || coalesce(md5(text), '')) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rn FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(rn - 1) % 3 + 1] AS w FROM s),
 o AS (SELECT *, CAST(sum(n) OVER () AS BIGINT) AS t, CAST(coalesce(sum(n) OVER (ORDER BY n / w, rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, sum(w) OVER (ORDER BY n / w, rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from FROM w),
