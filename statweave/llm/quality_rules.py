@@ -2,6 +2,8 @@
 
 Each rule bounds one ratio of a document and applies from a number of words on. All measures come from two arrays,
 the words and the lines, so one pass over the text serves all rules; no user function, join or shuffle is involved.
+The share of stop words is judged only where the words are mostly basic Latin letters: the table holds words of
+languages written so, and says nothing about others.
 Null texts have no words; a text of white space has no words and no lines that count; equal rows give equal results;
 other columns are ignored; an empty table gives an empty result.
 """
@@ -17,13 +19,27 @@ from .common import GAP
 
 WINDOW = 5
 
-#: Very frequent words of the languages that the rules cover.
+#: Very frequent words of languages in Latin letters, in lower case.
 STOP_WORDS = {
     "en": "the of and to in is that it for was on are with as be by at this from or",
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch",
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur",
     "es": "de la que el en y los del se las por un para con no una su al lo como",
+    "it": "di che il e la un per non del si le della sono con i",
+    "pt": "de que o e do da em um para com os no se na por",
+    "nl": "de het een van en in is dat op te zijn voor met niet aan",
+    "sv": "och att det som en på är av för den till inte med",
+    "da": "og at det er en til af på den som ikke med for",
+    "fi": "ja on ei se oli että hän mutta ovat kun",
+    "pl": "w i na z się do nie że jest to o jak",
+    "cs": "a se v na je že s z o i do to",
+    "tr": "ve bir bu da de için ile çok ne olarak",
+    "hu": "a az és hogy nem egy is ez meg volt",
+    "ro": "și de în a la cu pe nu un este din",
+    "id": "yang dan di itu dengan untuk tidak ini dari dalam",
+    "vi": "và của là có cho không một các được trong",
 }
+STOP_SET = sorted({w for words in STOP_WORDS.values() for w in words.split()})
 
 
 class Rule(NamedTuple):
@@ -32,13 +48,14 @@ class Rule(NamedTuple):
     low: float | None
     high: float | None
     words: int = 0
+    given: str | None = None  # a share that must be half at least for the rule to apply
 
 
 #: The threshold table. Measures are columns of ``measures``.
 RULES = (
     Rule("word_length", "mean_word_chars", 2.0, 14.0, 20),
     Rule("symbols", "symbols_per_word", None, 0.3),
-    Rule("stop_words", "stop_words", 2, None, 60),
+    Rule("stop_words", "stop_share", 0.02, None, 60, "latin_share"),
     Rule("repeated_lines", "dup_line_share", None, 0.5, 20),
     Rule("shouting", "upper_share", None, 0.6, 10),
     Rule("marks", "mark_share", None, 0.4, 20),
@@ -80,7 +97,6 @@ def measures(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", "text", _split_words(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()})])
     n = F.size("words").cast("long")
 
     def gone(chars: str) -> Column:
@@ -94,15 +110,16 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").cast("long").alias("n_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        F.size(F.array_intersect(F.col("words"), stop)).cast("long").alias("stop_words"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_SET))).cast("long").alias("n_stop"),
         gone(r"[A-Z]").alias("n_upper"),
+        gone(r"[A-Za-z]").alias("n_latin"),
         gone(r"[^A-Za-z\x20\x09-\x0D\x{80}-\x{10FFFF}.,]").alias("n_marks"),
     )
 
     def per(a: str, b: str) -> Column:
         return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
-    return base.select("*", per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbols_per_word"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_upper", "word_chars").alias("upper_share"), per("n_marks", "word_chars").alias("mark_share"))
+    return base.select("*", per("word_chars", "n_words").alias("mean_word_chars"), per("n_symbols", "n_words").alias("symbols_per_word"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("n_stop", "n_words").alias("stop_share"), per("n_latin", "word_chars").alias("latin_share"), per("n_upper", "word_chars").alias("upper_share"), per("n_marks", "word_chars").alias("mark_share"))
 
 
 def failures(rules: tuple[Rule, ...] = RULES) -> Column:
@@ -115,6 +132,8 @@ def failures(rules: tuple[Rule, ...] = RULES) -> Column:
             bad = bad | (value < r.low)
         if r.high is not None:
             bad = bad | (value > r.high)
+        if r.given is not None:
+            bad = bad & (F.col(r.given) >= 0.5)
         broken.append(F.when(bad & (F.col("n_words") >= r.words), F.lit(r.name)))
     return F.array_compact(F.array(*broken))
 

@@ -115,10 +115,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rules_oracle() -> str:
-    from .quality_rules import RULES, STOP_WORDS
+    from .quality_rules import RULES, STOP_SET
 
-    stop = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws.split()}))
-    tests = [f"(n_words >= {r.words} AND ({' OR '.join([f'{r.measure} < {r.low}'] * (r.low is not None) + [f'{r.measure} > {r.high}'] * (r.high is not None))}))" for r in RULES]
+    stop = ", ".join(f"'{w}'" for w in STOP_SET)
+    tests = [f"(n_words >= {r.words} AND {f'{r.given} >= 0.5' if r.given else 'true'} AND ({' OR '.join([f'{r.measure} < {r.low}'] * (r.low is not None) + [f'{r.measure} > {r.high}'] * (r.high is not None))}))" for r in RULES]
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -126,9 +126,9 @@ g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELEC
 t AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
 r AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM t) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
- len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_intersect(words, [{stop}])) AS stop_words,
- length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[^A-Za-z\x20\x09-\x0D\x{{80}}-\x{{10FFFF}}.,]', '', 'g')) AS n_marks FROM w LEFT JOIN r USING (doc_id)),
-x AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_share, coalesce(n_marks / nullif(word_chars, 0), 0) AS mark_share, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+ len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(r.n, 0) AS n_repeat_words, len(list_filter(words, lambda x: lower(x) IN ({stop}))) AS n_stop,
+ length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper, length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g')) AS n_latin, length(text) - length(regexp_replace(text, '[^A-Za-z\x20\x09-\x0D\x{{80}}-\x{{10FFFF}}.,]', '', 'g')) AS n_marks FROM w LEFT JOIN r USING (doc_id)),
+x AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_share, coalesce(n_latin / nullif(word_chars, 0), 0) AS latin_share, coalesce(n_upper / nullif(word_chars, 0), 0) AS upper_share, coalesce(n_marks / nullif(word_chars, 0), 0) AS mark_share, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT (base_failed OR {" OR ".join(tests)}) AS kept FROM x
 """
 
