@@ -8,8 +8,8 @@ found by binary search. A text gets the language with the lowest cross-entropy p
 softmax of the cross-entropies with a temperature fitted on rows kept back, halved when the text is further from the
 language than nearly all of its own rows (``accepted`` is false then).
 
-At most about SAMPLE_PER_LANGUAGE labelled texts of each language are learned from, chosen by a hash of the id, and
-MAX_LANGUAGES languages, else an error; scoring covers every whole text. Null texts and texts without a letter are
+At most about SAMPLE_PER_LANGUAGE labelled texts of each language are learned from, chosen by a hash of the id (of
+one id's texts in a language the least), and MAX_LANGUAGES languages, else an error; scoring covers every whole text. Null texts and texts without a letter are
 ``und`` with score 0; null ids and null languages are never learned from; equal texts score equally; other columns
 are ignored; an empty table gives an empty result; without labelled rows every text is ``und``.
 """
@@ -175,7 +175,8 @@ def fit(docs: DataFrame, learnable: Column, per_language: int = SAMPLE_PER_LANGU
     if not counts:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n) * 4294967296.0)]), F.col("lang"))
-    sample = rows.where(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":lang"))) < share).select("doc_id", "lang", "text").toPandas()  # per_language rows or so of each
+    chosen = rows.where(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":lang"))) < share)
+    sample = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toPandas()  # per_language rows or so of each
     sample = sample.sort_values(["lang", "doc_id", "text"]).reset_index(drop=True)
     back = np.arange(len(sample)) % 5 == 0 if len(sample) >= 50 else np.zeros(len(sample), bool)
     languages = sorted(counts)

@@ -6,8 +6,8 @@ vector; a unit's context vector is the sum of the index vectors around it, its o
 from. A document is the mean context vector of each kind of unit, and two dense layers give a logit; a temperature
 chosen on rows kept back makes it a probability.
 
-At most about SAMPLE labelled rows of the classes are learned from, chosen by a hash of the id; classes are
-weighed back to their shares. Vectors live in hash buckets, so the model has one size whatever the input. Scoring
+At most about SAMPLE labelled rows of the classes are learned from, chosen by a hash of the id (of one id's texts
+the least); classes are weighed back to their shares. Vectors live in hash buckets, so the model has one size whatever the input. Scoring
 covers every whole text. Null and empty texts pool to zero; equal texts score equally; null ids are never learned
 from; other columns are ignored; an empty table gives an empty result. Without labelled rows of both classes every
 score is 0.5.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality")).where(learnable)
     shares = {r["quality"]: r["count"] for r in marked.groupBy("quality").count().collect()}
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(sampled(marked, "quality", most, ":quality")), "doc_id").select("doc_id", "quality", "text").toPandas()  # sum(most) rows or so
+    sample = texts.join(F.broadcast(sampled(marked, "quality", most, ":quality")), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas()  # sum(most) rows or so
     sample = sample.sort_values(["doc_id", "text"]).reset_index(drop=True)
     y = sample["quality"].to_numpy(float)
     if len(set(y)) < 2:

@@ -4,10 +4,10 @@ Features are the distinct hashed words, neighbouring pairs and pairs around one
 in lower case. The learner keeps per-coordinate rates and L1 sparsity, so what scoring needs is a short sorted list of
 feature numbers with weights; a dense table of fixed size is made from it in each worker.
 
-At most about SAMPLE labelled rows of the classes are learned from, chosen by a hash of the id; scoring
-covers every whole text. Null and empty texts have no features and score as the intercept says; equal texts score
-equally; null ids are never learned from; other columns are ignored; an empty table gives an empty result. Without
-labelled rows of both classes every score is 0.
+At most about SAMPLE labelled rows of the classes are learned from, chosen by a hash of the id (of one id's texts the
+one whose features come first); scoring covers every whole text. Null and empty texts have no features and score as
+the intercept says; equal texts score equally; null ids are never learned from; other columns are ignored; an empty
+table gives an empty result. Without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
@@ -85,7 +85,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample's size is bounded by ``most``, so it is broadcast and the texts stay where they are.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary").toPandas()
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary")
+    sample = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas()
     sample = sample.sort_values(["doc_id", "features"]).reset_index(drop=True)
     if sample["label"].nunique() < 2:
         return None
