@@ -73,17 +73,18 @@ def mix(rows: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (5, 2, 1)
     name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.coalesce("tag", F.lit(""))))
     size = F.coalesce(F.col("size").cast("long"), F.lit(0))
-    rows = checkpoint(rows.select("row", "doc_id", "source", size.alias("size"), name.alias("name"), key.alias("key"), F.spark_partition_id().alias("salt")))
-    lots = rows.groupBy(*ALIKE).agg(F.count("*").alias("n"), F.max("source").alias("source")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("words", F.col("n") * F.col("size"))
-    ranges = checkpoint(lots.groupBy("name", "range").agg(F.sum("words").alias("n"), F.max("source").alias("source")))
-    goals = source_targets(ranges.groupBy("name").agg(F.max("source").alias("source"), F.sum("n").alias("source_size")).select("source", "source_size"), weights, share, cap).withColumn("name", name).drop("source")
+    rows = checkpoint(rows.select("row", "doc_id", size.alias("size"), name.alias("name"), key.alias("key"), F.spark_partition_id().alias("salt")))
+    lots = rows.groupBy(*ALIKE).agg(F.count("*").alias("n")).withColumn("range", F.substring("key", 1, RANGE_DIGITS)).withColumn("words", F.col("n") * F.col("size"))
+    ranges = checkpoint(lots.groupBy("name", "range").agg(F.sum("words").alias("n")))
+    source = F.when(F.col("name") != "n", F.expr("substring(name, 2)"))
+    goals = source_targets(ranges.groupBy("name").agg(F.sum("n").alias("source_size")).select(source.alias("source"), "source_size"), weights, share, cap).withColumn("name", name).drop("source")
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = ranges.select("name", "range", ahead.alias("ahead")).join(goals, "name")
     inside = Window.partitionBy("name", "range").orderBy("key", "size", "salt").rowsBetween(Window.unboundedPreceding, -1)
     found = lots.withColumn("inside", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(starts, ["name", "range"])
     found = found.select(*ALIKE, "source_size", "target", (F.col("ahead") + F.col("inside")).alias("before"))
     nth = F.row_number().over(Window.partitionBy(*ALIKE).orderBy("size")) - 1
-    placed = rows.drop("source").withColumn("nth", nth).join(found, ALIKE)
+    placed = rows.withColumn("nth", nth).join(found, ALIKE)
     placed = placed.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0)))
     rest = F.floor("target") - F.col("epochs") * F.col("source_size") - F.col("before") - F.col("nth") * F.col("size")
     part = F.greatest(F.lit(0), F.least(rest, F.col("size")))
