@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; it bounds a worker's temporary arrays.
 CHUNK_BYTES = 1 << 19
+#: The session's bound of an Arrow batch, and what it is set to where the session names none.
+BATCH_BOUND, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -85,6 +87,13 @@ def text_chunks(column: pa.Array | pa.ChunkedArray):
         row = end
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded in bytes: 10,000 rows of long texts are too much at once."""
+    if df.sparkSession.conf.get(BATCH_BOUND, None) is None:
+        df.sparkSession.conf.set(BATCH_BOUND, str(BATCH_BYTES))
+    return df
+
+
 def sliced(batches, rows: int = 1000):
     """Arrow batches of at most so many rows, so that a worker's lists stay small."""
     for batch in batches:
@@ -100,13 +109,18 @@ def relieved(run):
 
     def whole(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     out = data.copy()
     out[(out >= 65) & (out <= 90)] += 32

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import bounded_batches, text_chunks
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -233,4 +233,4 @@ def identify(docs: DataFrame, models: Models | None) -> DataFrame:
                         names[i] = m.languages[j]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(accepted)], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, connected_components, document_shingles, mix, parallelism, relieved, sliced
+from .common import bounded_batches, checkpoint, connected_components, document_shingles, mix, parallelism, relieved, sliced
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
 ORDER_BITS = 21
@@ -224,7 +224,7 @@ def _opened(docs: DataFrame, k: int, queries: DataFrame, members: DataFrame, num
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text); links at similarity num/den or more."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = spark.sparkContext.broadcast(_bucket_counts(docs, k))
     rows = checkpoint(_described(docs, k, num, den, table))
     full = rows.where("n > 0 and doc_id is not null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, relieved, sliced
+from .common import bounded_batches, checkpoint, relieved, sliced
 
 SMALLEST_SHARE = 1024
 BUCKETS = 1024
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     ``weights`` are the target proportions by source, by default the sources' own shares, with which all queues end
     together; sources without one come after the others. ``ids`` of a piece are little-endian unsigned 32-bit numbers.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("string").alias("text"))
     rows = checkpoint(_encoded(docs, tokenizer, end_id))
     totals = checkpoint(rows.groupBy("source", "part").agg(F.sum("n").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, span_hashes, text_chunks, word_spans
+from .common import bounded_batches, lower_ascii, mix, span_hashes, text_chunks, word_spans
 from .toxicity import sampled
 
 BUCKETS_BITS = 15
@@ -175,4 +175,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     out[row : row + len(offsets) - 1] = 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")

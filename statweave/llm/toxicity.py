@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, mix, relieved, sliced, span_hashes, text_chunks, word_spans
+from .common import bounded_batches, give_back, lower_ascii, mix, relieved, sliced, span_hashes, text_chunks, word_spans
 
 BITS = 20
 #: Labelled rows learned from: of class 0 and of class 1.
@@ -83,14 +83,17 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
                 out += [np.unique(found[a:b]).astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "label", "features"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample's size is bounded by ``most``, so it is broadcast and the texts stay where they are.
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary")
-    sample = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas()
-    sample = sample.sort_values(["doc_id", "features"]).reset_index(drop=True)
-    if sample["label"].nunique() < 2:
-        return None
-    return learn([np.frombuffer(b, np.int32) for b in sample["features"]], sample["label"].to_numpy())
+    sample = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
+    marks = sample["label"].to_numpy()
+    model = None
+    if len(set(marks.tolist())) == 2:
+        model = learn([np.frombuffer(b.as_buffer(), np.int32) for b in sample["features"]], marks)
+    del sample
+    give_back()
+    return model
 
 
 def learn(rows: list[np.ndarray], labels: np.ndarray) -> Model:
@@ -141,7 +144,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1)), pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def below(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
@@ -152,5 +155,5 @@ def below(docs: DataFrame, model: Model | None, limit: float) -> DataFrame:
         for batch in sliced(batches):
             yield batch.filter(pa.array(_scores(shared.value, batch.column(at)) < limit))
 
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't go to Python
+    plain = bounded_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots can't go to Python
     return plain.mapInArrow(relieved(run), plain.schema).toDF(*docs.columns)
