@@ -1,4 +1,5 @@
 import json
+import time
 from collections import Counter
 
 import pytest
@@ -120,6 +121,62 @@ def test_entity_resolution_matches_a_sequential_fold(spark):
     assert got == want
 
 
+def plain_groups(rows):
+    """Groups of (order, rank, doi, title, year, item_id) by the rule, item by item."""
+    groups, want = [], {}
+    for order, rank, doi, title, year, i in sorted(rows, key=lambda r: (r[0], r[1] or 99, r[5])):
+        g = next((g for g in groups if doi and doi in g["dois"]), None)
+        g = g or next((g for g in groups if title and g["t"] == title and (not year or not g["y"] or abs(year - g["y"]) <= 1)), None)
+        if g is None:
+            g = {"dois": [], "t": title, "y": year or 0, "id": i, "seq": order * 1_000_000 + (rank or 99)}
+            groups.append(g)
+        g["y"], g["t"] = g["y"] or year or 0, g["t"] or title
+        if doi and doi not in g["dois"]:
+            g["dois"].append(doi)
+        want[i] = g
+    return {i: (g["id"], g["seq"], g["dois"][0] if g["dois"] else None, g["dois"][1:]) for i, g in want.items()}
+
+
+def resolved(spark, rows):
+    df = spark.createDataFrame([(f"s{r[0]}", *r) for r in rows], "source string, source_order int, rank int, doi string, title string, year int, item_id string")
+    return {r["item_id"]: (r["group_id"], r["group_seq"], r["doi"], r["other_dois"]) for r in fusion.resolve(df).collect()}
+
+
+def test_resolution_of_many_and_of_large_blocks(spark):
+    import random
+
+    random.seed(8)
+    rows = []
+    for block in range(60):  # works with missing titles, years and DOIs, each block apart from the others
+        for k in range(random.randint(1, 12)):
+            rows.append((k % 3, random.choice([0, None, *range(1, 9)]), random.choice([None, f"10.{block}/{random.randint(1, 4)}"]), random.choice([None, f"block {block} title number {random.randint(1, 2)}"]), random.choice([None, 0, *range(2000, 2006)]), f"{block}-{k:02d}"))
+    assert resolved(spark, rows) == plain_groups(rows)
+    many = [(0, 1, f"10.5/{k}", f"a title of its own {k}", 2000, f"i{k}") for k in range(5000)]
+    large = [(1, k + 1, f"10.6/{k}", "one title of very many works", 3 * k + 1, f"l{k:05d}") for k in range(10000)]
+    again = [(2, k + 1, None, "one title of very many works", 3 * k + 2, f"m{k:05d}") for k in range(10000)]
+    began = time.perf_counter()
+    got = resolved(spark, [*many, *large, *again])
+    assert time.perf_counter() - began < 60
+    assert len(got) == 25000 and all(got[f"i{k}"][0] == f"i{k}" for k in range(5000)) and all(got[f"m{k:05d}"] == got[f"l{k:05d}"] == (f"l{k:05d}", 1_000_001 + k, f"10.6/{k}", []) for k in range(10000))
+
+
+def test_merging_folds_once_without_a_frame_for_each_work(spark, small):
+    from statweave.plans import recorded
+
+    plan = recorded.merged_items(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan
+
+
+def test_merging_takes_first_fields_in_source_order(spark):
+    rows = [("b", 1, 2, "10.1/z", "A title that is long", 0, ["Q", "R"], "later", 7, None, "y"), ("a", 0, 5, "10.1/z", "A title that is long", None, None, "", None, False, "x"), ("b", 1, 1, "10.1/z", "Other words of a title", 1999, ["P", "S"], None, 3, True, "w"), ("c", 2, 4, None, None, 2001, ["T"], None, None, None, "v")]
+    items = spark.createDataFrame(rows, fusion.ITEM)
+    got = {r["group_id"]: r for r in fusion.best_of_group(items, fusion.resolve(items)).collect()}
+    r = got["x"]
+    assert (r["title"], r["abstract"], r["year"], r["authors"], r["cited_by"], r["is_oa"], r["item_ids"], r["sources"]) == ("A title that is long", "later", 1999, ["P", "S"], 7, True, ["w", "x", "y"], 2)
+    assert r["rrf"] == pytest.approx(1 / 65 + 1 / 61) and got["v"]["item_ids"] == ["v"] and got["v"]["year"] == 2001
+    assert fusion.resolve(items.limit(0)).count() == 0
+
+
 def test_search_ranks_and_merges(spark):
     a = spark.createDataFrame([("a", 0, 1, "10.1/x", "Growth and trade in cities", 2020, ["A B"], None, 5, False, "a1")], fusion.ITEM)
     b = spark.createDataFrame([("b", 1, 3, "https://doi.org/10.1/X", "Growth and trade in cities", 2020, ["A B", "C D"], "text", 9, True, "b1"), ("b", 1, 1, None, "Something else entirely", 2001, ["Z"], "", 0, False, "b2")], fusion.ITEM)
