@@ -33,7 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, connected_components, document_shingles, mix, parallelism, relieved, sliced
+from . import common
+from .common import bounded_batches, connected_components, document_shingles, mix, parallelism, relieved, settle, sliced
 
 #: Buckets of the token order's count table: 4 bytes each, whatever the input's size.
 ORDER_BITS = 21
@@ -49,6 +50,13 @@ GROUP_QUERIES = 1024
 SLICES = 64
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """The shared checkpoint, after which the driver drops what led to it: the plans here are many and large."""
+    out = common.checkpoint(df)
+    settle(df.sparkSession)
+    return out
+
+
 def needed(n: int | np.ndarray, num: int, den: int):
     """The least overlap that a set of n tokens has with any set at similarity num/den or more."""
     return -(-n * num // den)
@@ -244,6 +252,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5)
     asked, members = _asked(posts, homes, num, den)
     links = stars.unionByName(_opened(docs, k, asked, members, num, den))
     final = connected_components(links)
+    settle(spark)
 
     # Back to the rows: a digest's node, and the node's component. Components are labelled by nodes, the least ids.
     label = nodes.select("d1", "d2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))

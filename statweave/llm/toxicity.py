@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, give_back, lower_ascii, mix, relieved, sliced, span_hashes, text_chunks, word_spans
+from .common import bounded_batches, lower_ascii, mix, relieved, sliced, span_hashes, text_chunks, word_spans
 
 BITS = 20
 #: Labelled rows learned from: of class 0 and of class 1.
@@ -86,14 +86,21 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, most: tuple[int,
     texts = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The sample's size is bounded by ``most``, so it is broadcast and the texts stay where they are.
     found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").mapInArrow(gather, "doc_id long, label int, features binary")
-    sample = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow().sort_by("doc_id")
-    marks = sample["label"].to_numpy()
-    model = None
-    if len(set(marks.tolist())) == 2:
-        model = learn([np.frombuffer(b.as_buffer(), np.int32) for b in sample["features"]], marks)
-    del sample
-    give_back()
-    return model
+
+    def teach(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(*(batch.column(i).to_pylist() for i in range(2)), [np.frombuffer(b.as_buffer(), np.int32) for b in batch.column(2)], strict=True)
+        rows.sort(key=lambda r: r[0])
+        marks = np.array([label for _, label, _ in rows], np.int32)
+        if len(set(marks.tolist())) == 2:
+            m = learn([f for _, _, f in rows], marks)
+            yield pa.RecordBatch.from_arrays([pa.array([m.intercept]), pa.array([m.features.tobytes()], pa.binary()), pa.array([m.weights.tobytes()], pa.binary())], ["intercept", "features", "weights"])
+
+    # A worker holds the sample and learns from it; the driver gets 12 bytes a weight.
+    sample = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).repartition(1)
+    learned = sample.mapInArrow(relieved(teach), "intercept double, features binary, weights binary").collect()
+    return next((Model(r["intercept"], np.frombuffer(r["features"], np.int32), np.frombuffer(r["weights"], np.float64)) for r in learned), None)
 
 
 def learn(rows: list[np.ndarray], labels: np.ndarray) -> Model:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -197,3 +198,43 @@ def test_samples_take_one_text_of_a_repeated_id(spark):
     m, n = quality_model.fit(df, labels, every), quality_model.fit(one, labels, every)
     assert np.array_equal(m.first, n.first)
     assert toxicity.fit(df, labels, every) is not None
+
+
+def test_learning_stays_out_of_the_driver(spark, monkeypatch):
+    words = ["alpha", "beta", "gamma", "delta", "vile", "rotten"]
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(words[: 4 + 2 * (i % 2)], 12)) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    rows = []
+    for t in texts:
+        data = np.frombuffer(t.encode(), np.uint8)
+        rows.append(np.unique(toxicity.features(data, np.array([0, len(data)]))[0]))
+    want = toxicity.learn(rows, np.arange(200) % 2)
+    assert len(want.features)
+
+    driver, learn = os.getpid(), toxicity.learn
+
+    def outside(*args):
+        assert os.getpid() != driver, "the driver must not learn"
+        return learn(*args)
+
+    def refuse(*args):
+        raise AssertionError("the driver must not hold the sample")
+
+    monkeypatch.setattr(toxicity, "learn", outside)
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(type(docs), name, refuse)
+    got = toxicity.fit(docs, labels, F.lit(True))
+    assert got.intercept == want.intercept and got.features.tolist() == want.features.tolist() and got.weights.tolist() == want.weights.tolist()
+    assert toxicity.fit(docs, labels.where("toxic = 1"), F.lit(True)) is None and toxicity.fit(docs.limit(0), labels, F.lit(True)) is None
+
+
+def test_join_lets_the_driver_drop_what_it_has_cut(spark, monkeypatch):
+    from statweave.llm import ngram_join
+
+    seen = []
+    monkeypatch.setattr(ngram_join, "settle", lambda session: seen.append(session), raising=False)
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(8)], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs, k=5, num=4, den=5).collect()} == {i: i // 2 * 2 for i in range(8)}
+    assert len(seen) > 5
